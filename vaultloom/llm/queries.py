@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, token_matrix
+from . import media, packing, secrets, token_matrix, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,22 @@ def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.digest(token_matrix.written(token_matrix.matrix_rows(table(spark, sf_dir, "documents"))))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.found(table(spark, sf_dir, "documents")))
+
+
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path ends with the id of the document it shows; that document's label, if any, is the page's."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = F.regexp_extract(urls.path_of(F.col("url")), "/([0-9]{1,18})(?:[.][a-z]+)?/?$", 1)
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad")
+    of = pages.select("page_id", F.when(shown != "", shown).cast("long").alias("doc_id")).where("doc_id is not null")
+    return urls.judged(pages, of.join(labels.select("doc_id", bad), "doc_id"), URL_RULES)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_column(table(spark, sf_dir, "documents")))
 
@@ -27,7 +44,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op3_token_matrix": op3_token_matrix,
+    "op6_secrets": op6_secrets,
+    "op9_urls": op9_urls,
     "op10_media": op10_media,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_secrets": secrets.oracle()}
