@@ -91,7 +91,10 @@ def _listed(spans: Column) -> Column:
 
 def digest(rows: DataFrame) -> DataFrame:
     """found() with counts of the base kinds, a checksum of the base spans, all spans as text, and counts of live and copied ones."""
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def of(kind: int) -> Column:  # no default argument: a second parameter would be the element's index
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    count = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = _listed(F.filter("spans", lambda s: s["kind"] < 3))
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
     return rows.select("doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), live.alias("n_live"))
