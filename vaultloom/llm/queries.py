@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, secrets, token_matrix, urls
+from . import dedup, media, packing, secrets, token_matrix, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, of.join(labels.select("doc_id", bad), "doc_id"), URL_RULES)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, k=64, overlap=36)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_column(table(spark, sf_dir, "documents")))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_matrix": op3_token_matrix,
     "op6_secrets": op6_secrets,
     "op9_urls": op9_urls,
+    "op8_minhash": op8_minhash,
     "op10_media": op10_media,
 }
 
