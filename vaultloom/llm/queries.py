@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, media, packing, secrets, token_matrix, urls
+from . import dedup, langid, media, packing, secrets, token_matrix, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, of.join(labels.select("doc_id", bad), "doc_id"), URL_RULES)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.select("doc_id", "text", (langid.remainder("doc_id", 5) == 0).alias("held_out"))
+    return langid.identified(marked, langid.trained(docs), keep=("doc_id", "held_out"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, k=64, overlap=36)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -51,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_matrix": op3_token_matrix,
     "op6_secrets": op6_secrets,
     "op9_urls": op9_urls,
+    "op7_language": op7_language,
     "op8_minhash": op8_minhash,
     "op10_media": op10_media,
 }
