@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, langid, media, packing, secrets, token_matrix, urls
+from . import dedup, langid, lm, media, packing, secrets, token_matrix, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.packed(table(spark, sf_dir, "documents")))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.digest(token_matrix.written(token_matrix.matrix_rows(table(spark, sf_dir, "documents"))))
 
@@ -54,6 +58,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
+    "op2_lm": op2_lm,
     "op3_token_matrix": op3_token_matrix,
     "op6_secrets": op6_secrets,
     "op9_urls": op9_urls,
