@@ -117,15 +117,14 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     counts = every.groupBy("s").agg(F.count("*").alias("f"))
     ranked = every.join(counts.where("f > 1"), "s").selectExpr("*", "row_number() over (partition by c order by f, s) as rank", "count(*) over (partition by c) as r").withColumn("rank", F.col("rank") + F.col("n") - F.col("r"))
     probe = F.expr(f"n - ({percent} * n + 99) div 100 + 1")  # overlap with any partner: at least percent of the set
-    index = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")  # with a partner at least as large
-    exact = scratch(ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", (F.col("rank") <= index).alias("short")), "near-prefix")
+    exact = scratch(ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", "rank"), "near-prefix")
     by_label = exact.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = by_label.groupBy("s").agg(F.count("*").alias("labels"), F.expr("max_by(label, m)").alias("main")).where("labels > 1").select("s", "main")
-    member = exact.join(main, "s")
-    few = member.where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "short as ashort")
-    crossing = few.join(exact.selectExpr("s", "c as b", "n as bn", "label as bl", "short as bshort"), "s")
-    first = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    crossing = crossing.where((F.col("al") != F.col("bl")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & F.when(first, F.col("ashort")).otherwise(F.col("bshort")))
+    few = exact.join(main, "s").where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "rank as ar")
+    crossing = few.join(exact.selectExpr("s", "c as b", "n as bn", "label as bl", "rank as br"), "s")
+    # the least overlap of such a pair; both must hold the value so early that this many are left from there on
+    least = F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - 1")
+    crossing = crossing.where((F.col("al") != F.col("bl")) & (F.col("an") - F.col("ar") >= least) & (F.col("bn") - F.col("br") >= least))
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch(linked(pairs, sets, percent), "near-more")
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))

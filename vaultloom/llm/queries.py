@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, langid, lm, media, packing, secrets, token_matrix, urls
+from . import decontaminate, dedup, langid, lm, media, packing, secrets, token_matrix, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.digest(token_matrix.written(token_matrix.matrix_rows(table(spark, sf_dir, "documents"))))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that match."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.found(table(spark, sf_dir, "documents")))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op2_lm": op2_lm,
     "op3_token_matrix": op3_token_matrix,
+    "op4_decontaminate": op4_decontaminate,
     "op6_secrets": op6_secrets,
     "op9_urls": op9_urls,
     "op7_language": op7_language,
