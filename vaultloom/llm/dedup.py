@@ -8,7 +8,8 @@ so passages that many documents share don't make long lists. The steps after tha
 1. In each list every class meets the list's most central class (the one with most repeated values). The union sketch
    estimates their similarity, pairs near the threshold or above are compared on full sets, and links are joined to components.
 2. Lists whose classes are still in several components are the rest. Their classes are searched exactly: prefix filtering
-   on full sets, between components only, and pairs are compared on full sets.
+   on full sets, between components only; parity bits of the sets drop pairs that differ in too many elements within the
+   join, without loss, and the pairs left are compared on full sets.
 
 A dense group of n near copies so costs about n comparisons instead of n squared, and no link between different texts is
 lost but by chance: with k = 64 and overlap 36, two texts at the threshold of 0.85 miss each other with a probability
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import buffers, pieces, scratch, shingle_hashes, word_hashes
 from .graph import components
 
-INNER = ("_row", "_n", "_hi", "_lo", "_sketch", "_text")
+PARITIES = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -65,14 +66,21 @@ def sketched(df: DataFrame, text: str, keep: tuple[str, ...], width: int, k: int
     return scratch(named.mapInArrow(run, f"{types}, _n long, _hi long, _lo long, _sketch array<long>"), "near-rows")
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """64 * PARITIES bits: whether an odd number of the set's hashes falls on each. Two sets differ in at least as many elements as bits."""
+    odd = np.bincount(s & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def full_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(c, shingles) of rows (_row, _text)."""
+    """(c, shingles, parity) of rows (_row, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), lists_of(list(shingle_sets(*buffers(b.column(1)), width)))], ["c", "shingles"])
+            found = list(shingle_sets(*buffers(b.column(1)), width))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists_of(found), lists_of([parities(s) for s in found])], ["c", "shingles", "parity"])
 
-    return rows.select("_row", "_text").mapInArrow(run, "c long, shingles array<long>")
+    return rows.select("_row", "_text").mapInArrow(run, "c long, shingles array<long>, parity array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -113,17 +121,20 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     placed = inside.select("v", "c", "n").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_lists = placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
     rest = scratch(placed.join(open_lists, "v").select("c", "n", "label").distinct(), "near-rest")
-    every = rest.join(sets, "c").select("c", "n", "label", F.explode("shingles").alias("s"))
+    every = rest.join(sets, "c").select("c", "n", "label", "parity", F.explode("shingles").alias("s"))
     counts = every.groupBy("s").agg(F.count("*").alias("f"))
     ranked = every.join(counts.where("f > 1"), "s").selectExpr("*", "row_number() over (partition by c order by f, s) as rank", "count(*) over (partition by c) as r").withColumn("rank", F.col("rank") + F.col("n") - F.col("r"))
     probe = F.expr(f"n - ({percent} * n + 99) div 100 + 1")  # overlap with any partner: at least percent of the set
-    exact = scratch(ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", "rank"), "near-prefix")
+    exact = scratch(ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", "rank", "parity"), "near-prefix")
     by_label = exact.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = by_label.groupBy("s").agg(F.count("*").alias("labels"), F.expr("max_by(label, m)").alias("main")).where("labels > 1").select("s", "main")
-    few = exact.join(main, "s").where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "rank as ar")
-    crossing = few.join(exact.selectExpr("s", "c as b", "n as bn", "label as bl", "rank as br"), "s")
+    few = exact.join(main, "s").where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "rank as ar", "parity as ap")
+    crossing = few.join(exact.selectExpr("s", "c as b", "n as bn", "label as bl", "rank as br", "parity as bp"), "s")
     # the least overlap of such a pair; both must hold the value so early that this many are left from there on
     least = F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - 1")
+    # parities show pairs that differ in too many elements, so that they are dropped within the join
+    differ = sum((F.bit_count(F.get("ap", F.lit(k)).bitwiseXOR(F.get("bp", F.lit(k)))) for k in range(PARITIES)), F.lit(0))
+    crossing = crossing.where(differ <= F.col("an") + F.col("bn") - 2 * (least + 1))
     crossing = crossing.where((F.col("al") != F.col("bl")) & (F.col("an") - F.col("ar") >= least) & (F.col("bn") - F.col("br") >= least))
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch(linked(pairs, sets, percent), "near-more")
