@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, langid, lm, media, packing, secrets, token_matrix, urls
+from . import decontaminate, dedup, langid, licenses, lm, media, packing, secrets, token_matrix, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scanned(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.found(table(spark, sf_dir, "documents")))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_lm": op2_lm,
     "op3_token_matrix": op3_token_matrix,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licences": op5_licences,
     "op6_secrets": op6_secrets,
     "op9_urls": op9_urls,
     "op7_language": op7_language,
@@ -73,4 +80,7 @@ QUERIES: dict[str, Query] = {
     "op10_media": op10_media,
 }
 
-ORACLE: dict[str, str] = {"op6_secrets": secrets.oracle()}
+ORACLE: dict[str, str] = {
+    "op5_licences": licenses.oracle("concat_ws('/', source, lang, doc_id::varchar)"),
+    "op6_secrets": secrets.oracle(),
+}
