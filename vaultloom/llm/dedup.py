@@ -121,11 +121,12 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     placed = inside.select("v", "c", "n").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_lists = placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
     rest = scratch(placed.join(open_lists, "v").select("c", "n", "label").distinct(), "near-rest")
-    every = rest.join(sets, "c").select("c", "n", "label", "parity", F.explode("shingles").alias("s"))
+    every = rest.join(sets, "c").select("c", "n", "label", F.explode("shingles").alias("s"))
     counts = every.groupBy("s").agg(F.count("*").alias("f"))
     ranked = every.join(counts.where("f > 1"), "s").selectExpr("*", "row_number() over (partition by c order by f, s) as rank", "count(*) over (partition by c) as r").withColumn("rank", F.col("rank") + F.col("n") - F.col("r"))
     probe = F.expr(f"n - ({percent} * n + 99) div 100 + 1")  # overlap with any partner: at least percent of the set
-    exact = scratch(ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", "rank", "parity"), "near-prefix")
+    early = ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", "rank")
+    exact = scratch(early.join(sets.select("c", "parity"), "c"), "near-prefix")
     by_label = exact.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = by_label.groupBy("s").agg(F.count("*").alias("labels"), F.expr("max_by(label, m)").alias("main")).where("labels > 1").select("s", "main")
     few = exact.join(main, "s").where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "rank as ar", "parity as ap")
