@@ -43,15 +43,31 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # shuffle files go once the driver's garbage is collected, which it may not do for a long while
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
     """Deletes the scratch tables this process wrote, but for the last `keep`. Call it once results are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while len(_written) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop(0))
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop(0))
 
 
 # ---------------------------------------------------------------- Arrow text

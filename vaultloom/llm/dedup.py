@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, pieces, scratch, shingle_hashes, word_hashes
+from .common import buffers, discard, pieces, scratch, shingle_hashes, word_hashes
 from .graph import components
 
 PARITIES = 16
@@ -140,33 +140,43 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch(linked(pairs, sets, percent), "near-more")
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return components(stars.union(more))
+    out = components(stars.union(more))
+    discard(listed, sets, links, rest, exact, more)
+    return out
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), width: int = 5, percent: int = 80, k: int = 64, overlap: int | None = None) -> DataFrame:
     """A row for each row of df: doc_id, kept columns, n_shingles, component_id (smallest doc_id reachable), _row and _component (numbers of this run)."""
-    if overlap is None:  # about five standard deviations below the threshold
+    rows, named = _placed(df, doc_id, text, keep, width, percent, k, overlap)
+    columns = ("doc_id", *(F.col(f"_keep_{c}").alias(c) for c in keep))
+    full = rows.where("_n > 0").join(named, ["_hi", "_lo"]).select(*columns, F.col("_n").alias("n_shingles"), "component_id", "_row", "_component")
+    empty = rows.where("_n = 0").select(*columns, F.col("_n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "_row", F.col("_row").alias("_component"))
+    return full.unionByName(empty)
+
+
+def _placed(df: DataFrame, doc_id: str, text: str, keep: tuple[str, ...], width: int, percent: int, k: int, overlap: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows as sketched(), and (_hi, _lo, _component, component_id) of the classes."""
+    if overlap is None:  # about six standard deviations below the threshold
         share = percent / 100
         overlap = max(1, int(k * share - 6 * (k * share * (1 - share)) ** 0.5))
     plain = df.select(F.col(doc_id).alias("doc_id"), *(F.col(c).alias(f"_keep_{c}") for c in keep), F.col(text).alias("_text"))
     rows = sketched(plain, "_text", tuple(c for c in plain.columns if c != "_text"), width, k)
-    some = rows.where("_n > 0")
-    classes = scratch(some.groupBy("_hi", "_lo").agg(F.min("_row").alias("c"), F.min("doc_id").alias("least")), "near-classes")
-    chosen = rows.join(classes.select(F.col("c").alias("_row")), "_row", "left_semi")
+    classes = scratch(rows.where("_n > 0").groupBy("_hi", "_lo").agg(F.min("_row").alias("c"), F.min("doc_id").alias("least")), "near-classes")
+    chosen = rows.select("_row", "_n", "_sketch").join(classes.select(F.col("c").alias("_row")), "_row", "left_semi")
     reps = scratch(chosen.select(F.col("_row").alias("c"), F.col("_n").alias("n"), F.col("_sketch").alias("sketch")), "near-reps")
     labels = linked_classes(reps, rows.select("_row", "_text"), width, percent, k, overlap)
+    discard(reps)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("_component", F.coalesce("label", "c"))
     least = named.groupBy("_component").agg(F.min("least").alias("component_id"))
-    placed = named.join(least, "_component").select("_hi", "_lo", "_component", "component_id")
-    columns = ("doc_id", *(F.col(f"_keep_{c}").alias(c) for c in keep))
-    full = some.join(placed, ["_hi", "_lo"]).select(*columns, F.col("_n").alias("n_shingles"), "component_id", "_row", "_component")
-    empty = rows.where("_n = 0").select(*columns, F.col("_n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "_row", F.col("_row").alias("_component"))
-    return full.unionByName(empty)
+    return rows, named.join(least, "_component").select("_hi", "_lo", "_component", "component_id")
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """df with one row of each group of near-duplicates: the smallest doc_id (null last), the first row among equal ids."""
-    others = tuple(c for c in df.columns if c != doc_id)
-    found = scratch(near_duplicates(df, doc_id, text, others, width, percent), "near-found")
-    first = found.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    return found.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").withColumnRenamed("doc_id", doc_id).select(*df.columns)
+    others = tuple(c for c in df.columns if c not in (doc_id, text))
+    rows, named = _placed(df, doc_id, text, others, width, percent, 64, None)
+    placed = rows.where("_n > 0").select("_row", "doc_id", "_hi", "_lo").join(named, ["_hi", "_lo"])
+    first = placed.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    columns = [F.col("doc_id" if c == doc_id else "_text" if c == text else f"_keep_{c}").alias(c) for c in df.columns]
+    chosen = rows.where("_n > 0").join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi")
+    return chosen.select(*columns).union(rows.where("_n = 0").select(*columns))

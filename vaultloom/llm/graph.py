@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import discard, scratch
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -26,5 +26,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = scratch(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        before, now = now, scratch(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
