@@ -13,8 +13,8 @@ from vaultloom.llm.common import scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those whose language the model can't tell (calibrated probability below 0.4)."""
-    return langid.accepted(docs, langid.trained(docs), least=0.4)
+    """Drops texts without a letter and those whose language the model can't tell (calibrated probability below 0.3)."""
+    return langid.accepted(docs, langid.trained(docs), least=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

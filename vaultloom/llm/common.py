@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed to _c0, _c1, ..., which clash with nothing that operators add, and the names they had."""
+    return df.toDF(*(f"_c{k}" for k in range(len(df.columns)))), df.columns
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

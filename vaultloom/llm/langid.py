@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import numbered, pieces
 
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
@@ -192,5 +192,6 @@ def identified(df: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
 def accepted(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of df whose language is recognised with a probability of at least `least`; all its columns."""
-    marked = identified(df, model, text, tuple(df.columns), "_lang_pred", "_lang_score")
-    return marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*df.columns)
+    plain, names = numbered(df)
+    marked = identified(plain, model, f"_c{names.index(text)}", tuple(plain.columns))
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*plain.columns).toDF(*names)

@@ -282,7 +282,7 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
     return weights
 
 
-def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, heads: int = 1 << 17, train_every: int = 8, rounds: int = 2, rate: float = 0.01) -> DataFrame:
+def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, heads: int = 1 << 17, train_every: int = 4, rounds: int = 1, rate: float = 0.015) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learns from rows whose crc32(doc_id) mod `folds` is not `held_out`."""
     spark = df.sparkSession
     out = remainder(doc_id, folds) == held_out

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import numbered, scratch
 
 # The patterns of the base kinds, letters of the key words in either case.
 KEYS = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -102,8 +102,10 @@ def digest(rows: DataFrame) -> DataFrame:
 
 def redacted(df: DataFrame, text: str = "text", repository: str = "source", owner: str | None = None) -> DataFrame:
     """df with every span of found() replaced: live ones by [secret], widely copied ones by [example key]. n_chars, if there, follows."""
-    names = df.columns
-    hit = found(df, text, repository, owner, tuple(names))
+    plain, names = numbered(df)
+    at = {name: f"_c{k}" for k, name in enumerate(names)}
+    hit = found(plain, at[text], at.get(repository), at.get(owner), tuple(plain.columns))
+    text = at[text]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -115,8 +117,8 @@ def redacted(df: DataFrame, text: str = "text", repository: str = "source", owne
     out = hit.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
     if "n_chars" in names:
         kind = df.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        out = out.withColumn(at["n_chars"], F.when(F.size("spans") > 0, F.length(text).cast(kind)).otherwise(F.col(at["n_chars"])))
+    return out.select(*plain.columns).toDF(*names)
 
 
 def _sql_spans(kind: int, pattern: str, keep: str, value: str = "m") -> str:
