@@ -15,14 +15,16 @@ def shards(block_rows: DataFrame) -> DataFrame:
     A group is one stripe, whose size the configuration bounds.
     """
 
+    kind = block_rows.schema["g"].dataType.simpleString()
+
     def encode(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("j").to_pylist(), group.column("bytes").to_pylist()))
         p = group.column("parity_blocks")[0].as_py()
         out = galois.encode([b for _, b in rows], p, len(rows[0][1]))
         n = len(out)
-        return pa.table({"g": pa.array([group.column("g")[0].as_py()] * n, pa.int64()), "stripe": pa.array([group.column("stripe")[0].as_py()] * n, pa.int64()), "idx": pa.array(range(n), pa.int64()), "bytes": pa.array(out, pa.binary())})
+        return pa.table({"g": pa.array([group.column("g")[0].as_py()] * n, group.column("g").type), "stripe": pa.array([group.column("stripe")[0].as_py()] * n, pa.int64()), "idx": pa.array(range(n), pa.int64()), "bytes": pa.array(out, pa.binary())})
 
-    return block_rows.select("g", "stripe", "j", "bytes", "parity_blocks").groupBy("g", "stripe").applyInArrow(encode, "g long, stripe long, idx long, bytes binary")
+    return block_rows.select("g", "stripe", "j", "bytes", "parity_blocks").groupBy("g", "stripe").applyInArrow(encode, f"g {kind}, stripe long, idx long, bytes binary")
 
 
 def rebuilt(block_rows: DataFrame, shard_rows: DataFrame) -> DataFrame:
@@ -41,9 +43,9 @@ def rebuilt(block_rows: DataFrame, shard_rows: DataFrame) -> DataFrame:
         found = galois.decode([b for _, b in rows], [b for _, b in kept], size)
         lost = [(j, None if found is None else found[k]) for k, (j, b) in enumerate(rows) if b is None]
         n = len(lost)
-        return pa.table({"g": pa.array([left.column("g")[0].as_py()] * n, pa.int64()), "stripe": pa.array([left.column("stripe")[0].as_py()] * n, pa.int64()), "j": pa.array([j for j, _ in lost], pa.int64()), "bytes": pa.array([b for _, b in lost], pa.binary())})
+        return pa.table({"g": pa.array([left.column("g")[0].as_py()] * n, left.column("g").type), "stripe": pa.array([left.column("stripe")[0].as_py()] * n, pa.int64()), "j": pa.array([j for j, _ in lost], pa.int64()), "bytes": pa.array([b for _, b in lost], pa.binary())})
 
-    return data.groupBy("g", "stripe").cogroup(parity.groupBy("g", "stripe")).applyInArrow(decode, "g long, stripe long, j long, bytes binary")
+    return data.groupBy("g", "stripe").cogroup(parity.groupBy("g", "stripe")).applyInArrow(decode, f"g {data.schema['g'].dataType.simpleString()}, stripe long, j long, bytes binary")
 
 
 def restored(member_rows: DataFrame, block_rows: DataFrame, rebuilt_rows: DataFrame) -> DataFrame:
