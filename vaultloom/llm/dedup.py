@@ -180,3 +180,16 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     columns = [F.col("doc_id" if c == doc_id else "_text" if c == text else f"_keep_{c}").alias(c) for c in df.columns]
     chosen = rows.where("_n > 0").join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi")
     return chosen.select(*columns).union(rows.where("_n = 0").select(*columns))
+
+
+def oracle(width: int, percent: int) -> str:
+    """Components over `documents` by comparing all pairs that share a shingle, as DuckDB SQL."""
+    joined = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return f"""with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) >= {width} then list_transform(range(1, len(w) - {width - 2}), lambda i: {joined}) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as h from d),
+    n as (select doc_id, count(*) as n from s group by 1),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+    e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
+    e2 as (select a, b from e union all select b, a from e),
+    reach as (select doc_id as v, doc_id as m from d union select e2.b, reach.m from reach join e2 on e2.a = reach.v)
+    select d.doc_id, coalesce(n, 0) as n_shingles, m as component_id, m = d.doc_id as kept from d left join n using (doc_id) join (select v as doc_id, min(m) as m from reach group by 1) using (doc_id)"""

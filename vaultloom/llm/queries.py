@@ -83,4 +83,9 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op5_licences": licenses.oracle("concat_ws('/', source, lang, doc_id::varchar)"),
     "op6_secrets": secrets.oracle(),
+    "op8_minhash": dedup.oracle(3, 85),
+    "op9_urls": urls.oracle(
+        URL_RULES,
+        r"select page_id, (toxic = 1 or quality = 0)::int as bad from (select page_id, try_cast(regexp_extract(url, '://[^/?#]*[^?#]*/([0-9]{1,18})(?:[.][a-z]+)?/?(?:[?#].*)?$', 1) as bigint) as doc_id from pages) join labels using (doc_id)",
+    ),
 }

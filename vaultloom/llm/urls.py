@@ -86,11 +86,45 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[Rule], page_id: str
     shapes = shaped.join(label, "page_id", "left").groupBy("host", "parts").agg(F.count("*").alias("n"), one(0), one(1))
     shapes = scratch(shapes, "url-shapes")
     tree = templates(shapes, depth)
-    whole = shapes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("good") + F.sum("bad"), F.lit(0)) + 2)).alias("rate"))
-    hosts = shapes.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).crossJoin(F.broadcast(whole)).select("host", ((F.col("b") + weight * F.col("rate")) / (F.col("g") + F.col("b") + weight)).alias("host_rate"))
+    all_good, all_bad = (x or 0 for x in shapes.agg(F.sum("good"), F.sum("bad")).first())
+    rate = F.lit((all_bad + 1) / (all_good + all_bad + 2))
+    hosts = shapes.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).select("host", ((F.col("b") + weight * rate) / (F.col("g") + F.col("b") + weight)).alias("host_rate"))
     sums = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).join(hosts, "host")
     purity = sums.select("host", "template", ((F.col("b") + weight * F.col("host_rate")) / (F.col("g") + F.col("b") + weight)).alias("purity"))
     verdicts = tree.select("host", "parts", "template").join(purity, ["host", "template"])
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     out = rows.withColumn("parts", segments(F.col("path"), depth)).join(verdicts, ["host", "parts"])
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+
+
+def oracle(rules: list[Rule], bad: str, weight: float = 4.0, reject: float = 0.5, depth: int = 6, most_children: int = 16, frequent: float = 0.05, z2: float = 3.84) -> str:
+    """The same over `pages` as DuckDB SQL, the levels written out; bad: a query of page_id and bad."""
+    cases = sorted(rules, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0])))
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    rule = "case " + " ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in cases) + " end"
+    verdict = "case " + " ".join(f"when {fits(h, p)} then '{v}'" for h, p, v in cases) + " end"
+    split = "string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/')"
+    parts = f"case when len({split}) > {depth} then list_concat({split}[1:{depth}], ['**']) else {split} end"
+    levels = []
+    for k in range(1, depth + 2):
+        levels.append(f"""here{k} as (select *, parts[{k}] as seg from tree{k - 1}),
+    child{k} as (select host, spot, seg, sum(n) as n, sum(good) as good, sum(bad) as bad from here{k} where seg is not null group by host, spot, seg),
+    branch{k} as (select c.*, case when kinds > {most_children} and n < {frequent} * total then '*' else seg end as branch from child{k} c join (select host, spot, count(*) as kinds, sum(n) as total from child{k} group by host, spot) using (host, spot)),
+    sum{k} as (select host, spot, branch, sum(good)::double as g, sum(bad)::double as b from branch{k} group by host, spot, branch),
+    lag{k} as (select *, lag(g) over w as g0, lag(b) over w as b0, (b + 1) / (g + b + 2) as share from sum{k} window w as (partition by host, spot order by (b + 1) / (g + b + 2), branch)),
+    apart{k} as (select *, coalesce(pow(b * (g0 + b0) - b0 * (g + b), 2) * (g + b + g0 + b0) > {z2} * (g + b) * (g0 + b0) * (b + b0) * (g + g0), false)::int as apart from lag{k}),
+    group{k} as (select *, sum(apart) over (partition by host, spot order by share, branch) as grp from apart{k}),
+    name{k} as (select host, spot, branch, case when count(*) over v > 1 then min(branch) over v || '+' || (count(*) over v - 1) else min(branch) over v end as name from group{k} window v as (partition by host, spot, grp)),
+    tree{k} as (select h.host, h.parts, h.n, h.good, h.bad, case when name is null then h.spot else h.spot || '/' || name end as spot
+      from here{k} h left join (select host, spot, seg, name from branch{k} join name{k} using (host, spot, branch)) x on x.host = h.host and x.spot = h.spot and x.seg = h.seg)""")
+    return f"""with label as (select page_id, max(bad) as bad from ({bad}) group by 1),
+    cut as (select page_id, case when contains(url, '://') then translate(regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*'), '{UPPER}', '{LOWER}') else '' end as host,
+      case when contains(url, '://') then regexp_extract(url[strpos(url, '://') + 3:], '^[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+    page as (select *, {parts} as parts from cut),
+    tree0 as (select host, parts, count(*) as n, count(*) filter (bad = 0) as good, count(*) filter (bad = 1) as bad, '' as spot from page left join label using (page_id) group by host, parts),
+    {", ".join(levels)},
+    rate as (select (sum(bad) + 1)::double / (sum(good) + sum(bad) + 2) as r from tree0),
+    host as (select host, (sum(bad) + {weight} * (select r from rate)) / (sum(good) + sum(bad) + {weight}) as host_rate from tree0 group by host),
+    pure as (select host, spot, (sum(bad) + {weight} * any_value(host_rate)) / (sum(good) + sum(bad) + {weight}) as purity from tree{depth + 1} join host using (host) group by host, spot)
+    select page_id, host, path, {rule} as rule, coalesce({verdict}, case when purity >= {reject} then 'block' else 'allow' end) as verdict, spot as template, round(purity, 6) as purity
+    from page join (select host, parts, spot, purity from tree{depth + 1} join pure using (host, spot)) using (host, parts)"""
