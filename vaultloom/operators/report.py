@@ -17,7 +17,10 @@ def totals(files: DataFrame, live: DataFrame, sets: DataFrame, member_rows: Data
     two = sets.agg(F.count("*").alias("sets"))
     three = member_rows.where("dead").agg(F.countDistinct("g").alias("degraded_sets"))
     four = events.agg(F.count("*").alias("events"))
-    return one.join(two).join(three).join(four)  # one row each
+    rows = one
+    for more in (two, three, four):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 
 
 def by_state(files: DataFrame) -> DataFrame:
