@@ -195,11 +195,17 @@ def search(items: Items, raw: np.ndarray, offsets: np.ndarray, share: float) ->
             yield t, i, best[0], best[1] - int(at[t]), best[2] - int(at[t])
 
 
+def block_count(items: DataFrame, text: str, block_items: int) -> int:
+    """Blocks of at most about block_items items and a thousand characters for each of them."""
+    n, chars = items.agg(F.count("*"), F.sum(F.length(text))).first()
+    return max(1, -(-n // block_items), -(-(chars or 0) // (block_items * 1000)))
+
+
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, repeats: int = 4, sampled: int = 7, block_items: int = 20_000, keep_row: bool = False) -> DataFrame:
     """doc_id, item_id, distance (characters), similarity, first_word, end_word of each document row and item that match."""
     spark = docs.sparkSession
     named = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    blocks = max(1, -(-named.count() // block_items))
+    blocks = block_count(named, "text", block_items)
     kinds = {"doc_id": docs.schema[doc_id].dataType.simpleString(), "item_id": named.schema["item_id"].dataType.simpleString()}
     row = F.monotonically_increasing_id() if keep_row else F.lit(0).cast("long")
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row.alias("_row"))
@@ -234,7 +240,7 @@ def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: st
     """The rows of docs that match no item, with all their columns; rows are judged where they are, without a join."""
     spark = docs.sparkSession
     named = items.select(F.col(item_text).alias("text")).where(F.col(item_text).isNotNull())
-    blocks = max(1, -(-named.count() // block_items))
+    blocks = block_count(named, "text", block_items)
     names = docs.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs

@@ -53,6 +53,8 @@ def lines(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame
     tf = _weights(spark, templates)
     vocabulary = sorted({r["word"] for r in tf.select("word").distinct().collect()})
     body = F.coalesce("text", F.lit(""))
+    if len(vocabulary) > 50_000:
+        raise ValueError("the templates' words go out with the tasks; more than 50000 don't")
     own = F.array_intersect(words(body), F.array(*(F.lit(w) for w in vocabulary)))
     seen = {r["word"]: r["n"] for r in docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = docs.count()

@@ -30,6 +30,7 @@ CLASSES, MEMBERS = 32, 32
 WORDS = CLASSES * MEMBERS
 HIDDEN = 24
 STREAMS, WINDOW, CHUNK = 64, 20, 4096
+FAN_IN = 64
 END_ID, OTHER_ID = 0, 1
 Weights = dict[str, np.ndarray]
 
@@ -260,6 +261,8 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
         start = spark.sparkContext.broadcast(flat(weights))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             words = vocabulary.value
             adam, used = Adam(unflat(start.value.copy()), rate / (1 + k)), 0  # noqa: B023
             for b in pieces(batches, "text", 1 << 22):
@@ -268,14 +271,22 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
             if used:
                 x = flat(adam.w).astype(np.float64) * used
                 parts = [x[i : i + CHUNK].tobytes() for i in range(0, len(x), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array([used] * len(parts), pa.int64())], ["part", "sums", "used"])
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(parts, pa.binary()), pa.array([used] * n, pa.int64())], ["part", "task", "sums", "used"])
 
         def add(group: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, np.float64) for x in group.column("sums").to_pylist())
-            return pa.table({"part": group.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary()), "used": pa.array([sum(group.column("used").to_pylist())], pa.int64())})
-
-        schema = "part int, sums binary, used long"
-        got = sorted(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect(), key=lambda r: r["part"])
+            return pa.table({"part": group.column("part")[:1], "task": pa.array([group.column("task")[0].as_py() // FAN_IN], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "used": pa.array([sum(group.column("used").to_pylist())], pa.int64())})
+
+        # a tree of sums: no group has more than FAN_IN rows of CHUNK numbers, however many tasks there are
+        schema, tasks = "part int, task long, sums binary, used long", texts.rdd.getNumPartitions()
+        sums = texts.mapInArrow(run, schema)
+        while True:
+            sums = sums.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("_up")).applyInArrow(add, schema)
+            if tasks <= FAN_IN:
+                break
+            tasks = -(-tasks // FAN_IN)
+        got = sorted(sums.collect(), key=lambda r: r["part"])
         if got:
             weights = unflat(np.concatenate([np.frombuffer(r["sums"], np.float64) for r in got]) / got[0]["used"])
         start.unpersist()

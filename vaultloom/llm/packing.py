@@ -72,7 +72,7 @@ def pack_pool(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, pool_windows: int = 192) -> DataFrame:
+def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, pool_windows: int = 512) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
 
     Pieces of one sequence_id lie without gaps from offset 0 to at most `capacity` ids.
