@@ -146,3 +146,39 @@ def test_scan_on_arrival(made):
     write(a.root, "landing/new", b"just arrived")
     scan_on_arrival(a, "landing").awaitTermination(120)
     assert a.ls(["landing"]).count() == 1
+
+
+def test_generations(spark, tmp_path):
+    from vaultloom.operators.catalog import Catalogue
+
+    c = Catalogue(spark, str(tmp_path))
+    rows = lambda n: spark.createDataFrame([(str(k), "v") for k in range(n)], "key string, value string")
+    assert c.read("meta").count() == 0
+    for n in (1, 2, 3):
+        assert c.commit(meta=rows(n)) == n
+    assert c.read("meta").count() == 3 and c.verify() == [] and sum(n.startswith("gen=") for n in os.listdir(tmp_path)) == 2
+    c.roll_back()
+    assert c.read("meta").count() == 2
+    place = os.path.join(tmp_path, c.current()["tables"]["meta"])
+    os.remove(os.path.join(place, next(n for n in os.listdir(place) if n.endswith(".parquet"))))
+    assert len(c.verify()) == 1
+
+
+def test_commands(made, capsys, monkeypatch):
+    import sys
+
+    from vaultloom.__main__ import main
+
+    a, _ = made
+
+    def call(*args):
+        monkeypatch.setattr(sys, "argv", ["vaultloom", "--root", a.root, *args])
+        return main(), capsys.readouterr().out
+
+    assert call("status")[0] == 0
+    flip(a.root, "data/f03", 5)
+    code, out = call("check")
+    assert code == 2 and out.startswith("data/f03\tcorrupt")
+    assert call("repair") == (0, "data/f03\trepaired\n")
+    assert call("check")[0] == 0 and call("fsck", "--deep")[0] == 0
+    assert call("export", "/nowhere/at/all", "--format", "x")[0] == 1

@@ -425,10 +425,13 @@ class Archive:
             shards = self.table("parity_shard").groupBy(F.col("set_id").alias("g"), "stripe").agg(F.count("*").alias("n"))
             short = geometry.stripes(self.sets).join(shards, ["g", "stripe"], "left").where("coalesce(n, 0) <> parity_blocks").select(F.col("g").alias("set_id"), F.lit("shards missing").alias("finding")).distinct()
             rows = rows.union(wrong).union(short)
+        torn = self.catalogue.verify()
+        if torn:
+            rows = rows.union(self.spark.createDataFrame([(None, f"table damaged: {x}") for x in torn], "set_id string, finding string"))
         rows = self._kept(rows)
         if fix:
             with self._locked():
-                drop = rows.where("finding <> 'ok'").select("set_id").distinct()
+                drop = rows.where("finding <> 'ok' and set_id is not null").select("set_id").distinct()
                 held = sets.sources(self.members, self.table("file"), self._disk([""]))
                 # a set that may be the only way to a content stays, unless it is nothing but leftovers
                 sole = sets.eligible(held).where("not eligible").select(F.col("g").alias("set_id"))

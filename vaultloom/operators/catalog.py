@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,10 +127,47 @@ class Catalogue:
             kinds = dict(c.split() for c in SCHEMAS[name].split(", "))
             rows.select(*(F.col(c).cast(kinds[c]).alias(c) if c in have else F.lit(None).cast(kinds[c]).alias(c) for c in columns)).write.parquet(os.path.join(self.root, places[name]))
         os.makedirs(self.root, exist_ok=True)
-        fresh = f"{self.pointer}.{os.getpid()}"
+        if os.path.exists(self.pointer):
+            self._put("PREVIOUS", now)
+        self._put("CURRENT", {"generation": number, "tables": places, "parts": {t: self._parts(p) for t, p in places.items()}})
+        self._sweep()
+        return number
+
+    def _put(self, name: str, value: dict) -> None:
+        fresh = os.path.join(self.root, f"{name}.{os.getpid()}")
         with open(fresh, "w") as f:
-            json.dump({"generation": number, "tables": places}, f)
+            json.dump(value, f)
             f.flush()
             os.fsync(f.fileno())
-        os.replace(fresh, self.pointer)
-        return number
+        os.replace(fresh, os.path.join(self.root, name))
+
+    def _parts(self, place: str) -> dict[str, int]:
+        """The part files of a written table and their sizes."""
+        top = os.path.join(self.root, place)
+        return {n: os.path.getsize(os.path.join(top, n)) for n in sorted(os.listdir(top)) if n.endswith(".parquet")}
+
+    def _sweep(self) -> None:
+        """Deletes generations that neither the current nor the previous pointer names."""
+        kept = set()
+        for name in ("CURRENT", "PREVIOUS"):
+            path = os.path.join(self.root, name)
+            if os.path.exists(path):
+                with open(path) as f:
+                    kept |= {place.split(os.sep)[0] for place in json.load(f)["tables"].values()}
+        for name in os.listdir(self.root):
+            if name.startswith("gen=") and name not in kept:
+                shutil.rmtree(os.path.join(self.root, name), ignore_errors=True)
+
+    def verify(self) -> list[str]:
+        """What differs between the part files the pointer recorded and those there."""
+        now, problems = self.current(), []
+        for table, recorded in now.get("parts", {}).items():
+            place = now["tables"][table]
+            there = self._parts(place) if os.path.isdir(os.path.join(self.root, place)) else {}
+            problems += [f"{table}: {n}" for n in sorted(set(recorded) | set(there)) if recorded.get(n) != there.get(n)]
+        return problems
+
+    def roll_back(self) -> None:
+        """Makes the previous generation the current one."""
+        with open(os.path.join(self.root, "PREVIOUS")) as f:
+            self._put("CURRENT", json.load(f))
