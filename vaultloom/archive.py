@@ -94,7 +94,7 @@ class Archive:
 
     def _tree(self, roots: list[str]) -> DataFrame:
         rows = source.tree(self.spark, self.root, paths.exclude_regex(list(self.config.exclude)))
-        return rows.where(paths.under_any(F.col("path"), roots) | ((F.col("kind") == "unreadable") & F.lit(True)))
+        return rows.where(paths.under_any(F.col("path"), roots) | (F.col("kind") == "unreadable"))
 
     def _disk(self, roots: list[str]) -> DataFrame:
         return self._tree(roots).where("kind = 'file'").select("path", "size", "mtime_ns", "inode")
@@ -103,7 +103,8 @@ class Archive:
         """The log with the rows (path, kind, detail) after it, in order of path."""
         log = self.table("event")
         last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        numbered = rows.selectExpr("path", "kind", "detail", f"{last} + row_number() over (order by path, kind) as seq", f"{now}L as ts")
+        # numbers grow along the sorted rows and have gaps, so that no task numbers all of them
+        numbered = rows.orderBy("path", "kind").select("path", "kind", "detail", (F.monotonically_increasing_id() + last + 1).alias("seq"), F.lit(now).cast("long").alias("ts"))
         return log.unionByName(numbered.select("seq", "ts", "path", "kind", "detail"))
 
     # ------------------------------------------------------------ scan and check
@@ -394,8 +395,10 @@ class Archive:
             rows = files.select("path", F.to_json(F.struct("path", "content_hash", "size", "mtime_ns", "state")).alias("line"))
         elif format == "tsv":
             rows = manifest.tsv_lines(files)
+        elif format == "marks":
+            rows = manifest.mark_lines(self.table("parity_mark"))
         else:
-            raise ValueError("format is sum, json or tsv")
+            raise ValueError("format is sum, json, tsv or marks")
         rows.orderBy(F.encode("path", "UTF-8")).select("line").coalesce(1).write.mode("overwrite").text(output)
 
     def import_list(self, file: str, algo: str | None = None, relative_to: str = "", trust: bool = False) -> DataFrame:

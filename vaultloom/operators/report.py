@@ -50,11 +50,17 @@ def due(files: DataFrame, cutoff: int) -> DataFrame:
 def within_budget(files: DataFrame, budget: int) -> DataFrame:
     """Least recently verified first (never first of all), while the bytes before a file are below the budget.
 
-    The order is total, so its window is one task over the index's sizes; only (path, size, time) goes there.
+    Sums of a day, or of a top directory among those never verified, tell where each begins; what begins beyond the budget
+    goes before anything is sorted, and the rest is sorted day by day.
     """
-    w = Window.orderBy(F.asc_nulls_first("last_verified_at"), paths.components(F.col("path")))
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.select("path", "size", "last_verified_at").withColumn("bytes_before", before).where(F.col("bytes_before") < budget)
+    t = F.col("last_verified_at")
+    rows = files.select("path", "size", "last_verified_at").withColumn("day", F.coalesce(F.floor(t / 86400), F.lit(-(1 << 40)))).withColumn("top", F.when(t.isNull(), F.split("path", "/")[0]).otherwise(""))
+    sums = rows.groupBy("day", "top").agg(F.sum("size").alias("n"))
+    begins = sums.select("day", "top", F.coalesce(F.sum("n").over(Window.orderBy("day", "top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin")).where(F.col("begin") < budget)
+    w = Window.partitionBy("day", "top").orderBy("last_verified_at", paths.components(F.col("path")))
+    inside = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = rows.join(begins, ["day", "top"]).withColumn("bytes_before", F.col("begin") + inside)
+    return near.where(F.col("bytes_before") < budget).select("path", "size", "last_verified_at", "bytes_before")
 
 
 def history(events: DataFrame, path: str | None = None, since: int | None = None, limit: int = 200) -> DataFrame:

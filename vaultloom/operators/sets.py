@@ -76,6 +76,19 @@ def table_digest(block_rows: DataFrame, keys: list[str], order: str, digest: str
     return block_rows.groupBy(*keys).agg(F.sha2(F.unhex(table), 256).alias("table_digest"), F.count("*").alias("n_blocks"))
 
 
+def block_owners(member_rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """g, b, ord, at: which member each wanted block (g, b) of a set belongs to, and its place there. Blocks come from the members, so the join is by value."""
+    end = F.col("first_block") + F.col("n_blocks") - 1
+    each = member_rows.select("g", "ord", "first_block", F.explode(F.sequence("first_block", end)).alias("b"))
+    return wanted.join(each, ["g", "b"]).select("g", "b", "ord", (F.col("b") - F.col("first_block")).alias("at"))
+
+
+def memberships(member_rows: DataFrame, sets: DataFrame, content_hash: str) -> DataFrame:
+    """All memberships of a content with their sets' times, oldest first."""
+    rows = member_rows.where(F.col("content_hash") == content_hash)
+    return rows.join(sets.select("set_id", "created_at"), "set_id").orderBy("created_at", "set_id", "ord")
+
+
 # ---------------------------------------------------------------- margins
 
 

@@ -310,6 +310,23 @@ def underfull_sets(s: SparkSession, sf: str) -> DataFrame:
     return sets.underfull(_sets(s, sf)[0], CONFIG).select("g", "data_bytes")
 
 
+@query(sql("select g, ord, b, b - first_block as at from (select *, unnest(range(first_block, first_block + n_blocks)) as b from members) where b % 97 = 5", "t0", "sets"))
+def block_owner(s: SparkSession, sf: str) -> DataFrame:
+    shape, rows = _sets(s, sf)
+    wanted = shape.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b")).where("b % 97 = 5")
+    return sets.block_owners(rows, wanted)
+
+
+@query(sql("select g, substr(set_id, 1, 2) || '/' || substr(set_id, 3, 2) || '/' || set_id as place from (select g, sha256(g::varchar) as set_id from sets)", "t0", "sets"))
+def set_places(s: SparkSession, sf: str) -> DataFrame:
+    return _sets(s, sf)[0].select("g", paths.set_path(F.sha2(F.col("g").cast("string").cast("binary"), 256)).alias("place"))
+
+
+@query(sql("select path, mode || chr(9) || path as line from marks", "marks"))
+def mark_lines(s: SparkSession, sf: str) -> DataFrame:
+    return manifest.mark_lines(fixtures.marks(s))
+
+
 # ---------------------------------------------------------------- blocks on disk
 
 SQL_BLOCKS = """rec as (select f.path, m.g, m.ord, f.size, m.first_block, m.n_blocks, f.mtime_ns, f.content_hash, block_size as bs, t0.hx as hx0, t1.hx as hx1, t1.size as size1, t1.mtime_ns as mtime1, t1.hash as hash1, blocks_per_stripe as s
@@ -451,6 +468,14 @@ def converge_duplicates(s: SparkSession, sf: str) -> DataFrame:
     return sets.converged(rows.drop("created_at"), created).select("set_id", "ord", "content_hash", "dead")
 
 
+@query(sql("select set_id, ord, dead, created_at, row_number() over (order by created_at, set_id, ord) as place from two where content_hash = (select min(content_hash) from two where set_id like 'b%')", "t0", "t1", "sets", SQL_DEAD, SQL_TWO))
+def memberships_by_age(s: SparkSession, sf: str) -> DataFrame:
+    rows = _two(s, sf)
+    wanted = rows.where("set_id like 'b%'").agg(F.min("content_hash")).first()[0] or ""
+    found = sets.memberships(rows.drop("created_at"), rows.select("set_id", "created_at").distinct(), wanted)
+    return found.selectExpr("set_id", "ord", "dead", "created_at", "cast(row_number() over (order by created_at, set_id, ord) as long) as place")
+
+
 @query(sql("select content_hash, count(*) as memberships from two where not dead group by 1 having count(*) > 1", "t0", "t1", "sets", SQL_DEAD, SQL_TWO))
 def duplicate_live_memberships(s: SparkSession, sf: str) -> DataFrame:
     return sets.duplicates(_two(s, sf))
