@@ -59,6 +59,25 @@ def test_recall_of_edited_passages(spark, sf):
     assert len(got) >= 0.97 * len(want) and all(got[k] == want[k] for k in got)
 
 
+def test_trimmed_items_as_whole_documents(spark):
+    """Items without their first and last words, each between two other documents of one task."""
+    items = {k: decontaminate.normal(plain(120, seed=100 + k)) for k in range(12)}
+    texts = [plain(60, seed=50)]
+    for k, t in items.items():
+        texts += [" ".join(t.split()[9 : -9 - k % 2]), "one", plain(60, seed=200 + k)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = decontaminate.matches(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    want = {}
+    for d, t in enumerate(texts):
+        for k, p in items.items():
+            distance = decontaminate.best_part(p, decontaminate.normal(t))[0]
+            if distance <= 0.2 * len(p):
+                want[d, k] = distance
+    assert len(want) == 12 and {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()} == want
+    kept = decontaminate.cleaned(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, plain(50, seed=7)), (2, None), (3, "  "), (4, "one two"), (4, "one"), (None, plain(12, seed=3)), (5, "é \U0001f600")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["distance"], r["first_word"], r["end_word"]) for r in decontaminate.matches(odd.withColumn("item_id", F.lit(9)), items).collect()}

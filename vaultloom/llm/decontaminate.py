@@ -158,14 +158,14 @@ def search(items: Items, raw: np.ndarray, offsets: np.ndarray, share: float) ->
     found = items.candidates(words)
     if not len(found):
         return
-    # a candidate may begin before its text's first word; the word met tells the text
     slack = np.array([n // 4 + 2 for n in items.lengths])
-    met = np.clip(found[:, 0], 0, len(words) - 1)
-    text = np.searchsorted(at, met, "right") - 1
+    # every text that the item's words would touch: the key may have met any of them, also one that lacks both ends of the item
     length = np.array(items.lengths)[found[:, 1]]
-    other = np.searchsorted(at, np.clip(found[:, 0] + length - 1, 0, len(words) - 1), "right") - 1
-    rows = [(t, i, p) for t, i, p in zip(text.tolist(), found[:, 1].tolist(), found[:, 0].tolist())]
-    rows += [(o, i, p) for t, o, i, p in zip(text.tolist(), other.tolist(), found[:, 1].tolist(), found[:, 0].tolist()) if o != t]
+    low, high = (np.searchsorted(at, np.clip(found[:, 0] + n, 0, len(words) - 1), "right") - 1 for n in (0, length - 1))
+    n = high - low + 1
+    which = np.repeat(np.arange(len(found)), n)
+    text = low[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    rows = zip(text.tolist(), found[which, 1].tolist(), found[which, 0].tolist())
     places: dict[tuple[int, int], list[int]] = defaultdict(list)
     for t, i, p in rows:
         places[t, i].append(p)
@@ -184,6 +184,8 @@ def search(items: Items, raw: np.ndarray, offsets: np.ndarray, share: float) ->
             if a >= b:
                 continue
             region = normal(raw[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"))
+            if len(region) < len(pattern) - most:
+                continue
             distance, end = best_part(pattern, region)
             if distance <= most and (best is None or distance < best[0]):
                 part = region[:end]
