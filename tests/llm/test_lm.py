@@ -50,6 +50,14 @@ def test_odd_rows_and_rare_words(spark, odd, none):
     assert lm.scores(none).count() == 0
 
 
+def test_network_learns_from_every_training_row(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "trained", lambda texts, vocabulary, weights, rounds, rate: seen.append(texts.count()) or weights)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    QUERIES["op2_lm"](spark, sf)
+    assert seen == [sum(zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2 for r in docs.select("doc_id").collect())]
+
+
 def setup(n=60):
     texts = [plain(3 + 7 * k % 90, seed=k) for k in range(n)]
     hashes, offsets = lm.token_streams(pa.array(texts))

@@ -5,8 +5,8 @@ go out with the tasks; counts of all other words stay a table and are joined by
 The network knows the end mark, the most frequent words and one mark for any other word; these are dealt by rank into
 classes, and a word's probability is that of its class times that within its class (times its smoothed share of the other
 words, from the counts over all training rows). Training is truncated backpropagation over windows of `WINDOW` tokens with
-the state carried on; each task trains on the documents of its split that the hash choice takes (one in `train_every`, so
-training grows with the corpus) and the tasks' weights are averaged by their tokens, `rounds` times. Scoring goes through
+the state carried on; each task trains on all training documents of its split (`train_every` above 1
+takes one in so many, by hash) and the tasks' weights are averaged by their tokens, `rounds` times. Scoring goes through
 whole documents window by window, the state carried across.
 
 Defined results: null text counts as empty and has the end token only; ids may repeat or be null (null counts as the empty
@@ -293,7 +293,7 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
     return weights
 
 
-def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, heads: int = 1 << 17, train_every: int = 4, rounds: int = 1, rate: float = 0.015) -> DataFrame:
+def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, heads: int = 1 << 17, train_every: int = 1, rounds: int = 1, rate: float = 0.015) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learns from rows whose crc32(doc_id) mod `folds` is not `held_out`."""
     spark = df.sparkSession
     out = remainder(doc_id, folds) == held_out
