@@ -26,4 +26,6 @@ ODD = [
     (None, None, None, None, None),
     (9, "日本語 text é \x00 \U0001f600", "fr", "c", None),
     (10, "!!! 123 ???", "fr", "c", None),
+    (11, " " * 1_500_000 + "x", "en", "a", None),
+    (12, "zq" * 300_000, "en", "a", None),
 ]

@@ -20,6 +20,11 @@ def test_tokenizer_gives_the_ids_of_tokenizers(sf, spark):
     assert [list(x) for x in tokens.TextTokenizer(tokens.default_path()).encode(texts)] == all_ids(texts)
 
 
+def test_long_runs_give_the_ids_of_tokenizers():
+    texts = [" " * 3_000_000 + "a", "\n" * 3_000_000 + "x", "abcde" * 600_000, " \n\t" * 700_000 + "z"]
+    assert [x.tolist() for x in tokens.TextTokenizer(tokens.default_path()).encode(texts)] == all_ids(texts)
+
+
 def test_other_files_take_the_plain_way():
     import public_tokenizers
 

@@ -27,7 +27,8 @@ class TextTokenizer:
     """encode(texts) gives the ids that `tokenizers` gives for the file, without special tokens; strings of special tokens are ordinary text.
 
     Where a byte-level file's merges are in the order of their ids, as ranks are, its vocabulary is handed to `tiktoken`,
-    which gives the same ids in about a third of the time (tests/llm compares them). Any other file is run by `tokenizers` itself.
+    which gives the same ids in about a third of the time (tests/llm compares them). Any other file is run by `tokenizers` itself,
+    as is any text that the pattern engine of `tiktoken` gives up on: it backtracks over a run of a million blanks.
     """
 
     def __init__(self, path: str):
@@ -62,4 +63,10 @@ class TextTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is None:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [self.fast.encode_to_numpy(t, disallowed_special=()).astype(np.int32) for t in texts]
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        except ValueError:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
