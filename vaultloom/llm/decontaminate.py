@@ -1,18 +1,23 @@
 """Benchmark decontamination: edit distance mapped to Hamming distance by random walks, bit sampling, exact verification.
 
-The CGK walk reads a window of words: at step j it puts out the word under its pointer, and the pointer moves on if bit j of
-the word's hash is set. Two windows a few edits apart fall back into step, so their walks differ at few of the steps. A key
-is a hash of the walk at `sampled` random steps; a window has `repeats` keys in each size class (4, 8, 16, 32 words). Every
-word of a document begins a window; of an item, all windows of the classes up to the item's own size are listed, so an
-edited passage has many chances to be met (tests/llm measures the recall). Candidates are verified by the exact character
-edit distance between the item and the best-fitting part of the document around the place.
+The CGK walk reads characters: at step j it puts out the character under its pointer, and the pointer moves on if bit j of
+that character is set. Two texts a few edits apart fall back into step, so their walks differ at few of the steps. A key is a
+hash of the walk at `sampled` random steps of `steps`; each of the `repeats` has walk bits and sampled steps of its own.
+A walk over a whole item is out of step for good once every fifth character is edited, so an item-sized window is keyed at all
+its characters: every character of an item and of a document begins a walk, and one that meets is enough (tests/llm measures
+the recall). All walks that begin at neighbouring characters share their tails, so keys are computed backwards, from the last
+step to the first, for all characters at once.
 
-Items go out with the tasks in blocks of at most `block_items` (by hash of the id), so the size of a block is bounded and any
-number of items is served; documents are never shuffled.
+A meeting is tested by the edit distance of the 64 characters of the item around it (bit vectors, many meetings at once); what
+is left is verified by the exact character edit distance between the item and the best-fitting part of the document.
+Items of fewer than 64 characters are searched without loss: cut into one piece more than the edits allowed, one piece must be unedited.
+
+Items go out with the tasks in blocks of at most `block_items` (by hash of the id), about 16 kB an item, so the size of a
+block is bounded and any number of items is served, at one pass over the documents a block; documents are never shuffled.
 
 Defined results: null or blank texts and items match nothing; ids may repeat or be null (each row of documents stands for
 itself, and items with one id are searched separately, the best one counting); other columns are ignored; empty tables give no
-rows; whole texts are searched.
+rows; whole texts are searched, at any character, also within words.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, pieces, word_hashes
+from .common import buffers, pieces
 
-CLASSES = (4, 8, 16, 32)
+CLASSES, WORD = 128, 64
+BORDER = 10
 BLOCK = 1 << 15
 
 
@@ -65,136 +71,243 @@ def best_part(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of normal(text) of all texts, each followed by BORDER, and the n + 1 places where texts begin."""
+    text = raw.tobytes().decode("utf-8", "replace")
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
+    ends = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=ends[1:])
+    if len(codes) != ends[-1]:  # broken UTF-8
+        texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).copy()
+        at = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+    else:
+        at = ends[offsets]
+    codes[(codes >= 65) & (codes <= 90)] += 32
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    codes[blank] = 32
+    # a blank stays if a word of the same text came right before it and another one follows
+    edge = np.zeros(len(codes) + 1, bool)
+    edge[at] = True
+    keep = ~blank
+    keep[1:] |= ~blank[:-1] & ~edge[1:-1]
+    at = np.r_[0, np.cumsum(keep)][at]
+    codes, blank = codes[keep], blank[keep]
+    last = at[1:][at[1:] > at[:-1]] - 1
+    keep = np.ones(len(codes), bool)
+    keep[last[blank[last]]] = False
+    at = np.r_[0, np.cumsum(keep)][at]
+    return np.insert(codes[keep], at[1:], BORDER), at + np.arange(len(at))
+
+
+def classes_of(codes: np.ndarray) -> np.ndarray:
+    """One of CLASSES values a character: ASCII as it is, others share the values of A to Z, which no normal text has."""
+    return np.where(codes < 128, codes, 65 + (codes * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(26)).astype(np.uint8)
+
+
 class Walks:
-    """Keys of the windows that begin at given words, for the size classes asked for."""
+    """Keys of the walks that begin at each character, one array a repeat."""
 
-    def __init__(self, classes: tuple[int, ...], repeats: int, sampled: int, seed: int = 11):
+    def __init__(self, repeats: int, steps: int, sampled: int, seed: int = 11):
         random = np.random.default_rng(seed)
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)  # step: (key, factor)
-        self.sizes: list[int] = []
-        for size in classes:
-            for _ in range(repeats):
-                key = len(self.sizes)
-                self.sizes.append(size)
-                steps = int(1.7 * size)  # the walk has hardly left the window by then
-                for j in random.choice(steps, min(sampled, steps), replace=False).tolist():
-                    self.at[j].append((key, int(random.integers(1 << 62)) * 2 + 1))
-        self.steps = max(self.at) + 1 if self.at else 0
-
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """words: 64-bit hashes, followed by at least `steps` of anything. Returns keys x starts."""
-        sums = np.zeros((len(self.sizes), len(starts)), np.uint64)
-        at, bits = starts.astype(np.int64), None
-        for j in range(self.steps):
-            if j % 60 == 0:
-                bits = mix(words + np.uint64(j + 0x51ED27))
-            for key, factor in self.at.get(j, ()):
-                sums[key] += words[at] * np.uint64(factor)
-            at = at + (bits[at] >> np.uint64(j % 60) & np.uint64(1)).view(np.int64)
-        return mix(sums + np.arange(1, len(sums) + 1, dtype=np.uint64)[:, None])
+        self.repeats, self.steps = repeats, steps
+        self.moves = random.integers(0, 2, (repeats, steps, CLASSES)).astype(bool)
+        self.adds = random.integers(0, 1 << 32, (repeats, steps, CLASSES), dtype=np.uint32)
+        self.sampled = np.array([np.isin(np.arange(steps), random.choice(steps, min(sampled, steps), replace=False)) for _ in range(repeats)])
+
+    def keys(self, classes: np.ndarray, repeat: int) -> np.ndarray:
+        """classes: of the characters, followed by `steps` of anything. v holds what the steps from j on give, by the place of the pointer at j."""
+        n = len(classes) - self.steps
+        v = np.zeros(n + self.steps, np.uint32)
+        for j in range(self.steps - 1, -1, -1):
+            here = classes[: n + j]
+            v = np.where(self.moves[repeat, j][here], v[1 : n + j + 1], v[: n + j])
+            if self.sampled[repeat, j]:
+                v += self.adds[repeat, j][here]
+        return v
+
+
+def chunk_distances(masks: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Least edit distance of pattern which[k] (up to 64 characters) to any part of classes[begin[k]:end[k]], all at once."""
+    best = np.empty(len(which), np.int64)
+    for at in range(0, len(which), 1 << 13):
+        part = slice(at, at + (1 << 13))
+        w, a, b = which[part], begin[part], end[part]
+        high = (lengths[w] - 1).astype(np.uint64)
+        flat, base, one = masks.reshape(-1), w * CLASSES, np.uint64(1)
+        plus, minus = np.full(len(w), ~np.uint64(0)), np.zeros(len(w), np.uint64)
+        score = lengths[w].astype(np.int64)
+        least = score.copy()
+        for j in range(int((b - a).max(initial=0))):
+            eq = flat[base + classes[np.minimum(a + j, b - 1)]]
+            eq[a + j >= b] = 0
+            xv = eq | minus
+            xh = ((eq & plus) + plus ^ plus) | eq
+            ph = minus | ~(xh | plus)
+            mh = plus & xh
+            score += ((ph >> high) & one).astype(np.int64) - ((mh >> high) & one).astype(np.int64)
+            ph <<= one
+            mh <<= one
+            plus, minus = mh | ~(xv | ph), ph & xv
+            np.minimum(least, score, out=least)
+        best[part] = least
+    return best
 
 
 class Items:
-    """A block of items with the keys of all their windows."""
+    """A block of items with the keys of all their walks (or of the pieces of short ones), and bit masks of their chunks."""
 
-    def __init__(self, rows: list[tuple], repeats: int, sampled: int):
+    def __init__(self, rows: list[tuple], share: float, repeats: int, steps: int, sampled: int):
         self.ids = [r[0] for r in rows]
         self.texts = [normal(r[1]) for r in rows]
-        hashes = []
-        for t in self.texts:
-            raw = np.frombuffer(t.encode(), np.uint8)
-            hashes.append(word_hashes(raw, np.array([0, len(raw)]))[0])
-        self.lengths = [len(h) for h in hashes]
-        longest = max(self.lengths, default=0)
-        shortest = min((n for n in self.lengths if n), default=0)
-        self.classes = tuple(c for c in CLASSES if c <= longest and (c > 4 or shortest < 8))
-        self.short = {}  # items of fewer words than the least class are looked up by their first word
-        self.walks = Walks(self.classes, repeats, sampled)
-        keys, refs = [], []
-        for k, h in enumerate(hashes):
-            if not len(h):
+        self.share = share
+        self.walks = Walks(repeats, steps, sampled)
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.most = (self.lengths * share).astype(np.int64)
+        each: list[tuple[list, list]] = [([], []) for _ in range(repeats)]
+        short: dict[int, tuple[list, list]] = {}
+        chunks, self.chunk_length, self.first_chunk = [], [], []
+        for k, t in enumerate(self.texts):
+            c = classes_of(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
+            self.first_chunk.append(len(chunks))
+            for a in range(0, max(len(c) - WORD // 2, min(1, len(c))), WORD // 2):
+                a = max(0, min(a, len(c) - WORD))
+                mask = np.zeros(CLASSES, np.uint64)
+                np.bitwise_or.at(mask, c[a : a + WORD], np.uint64(1) << np.arange(len(c[a : a + WORD]), dtype=np.uint64))
+                chunks.append(mask)
+                self.chunk_length.append(len(c[a : a + WORD]))
+            if not len(c):
                 continue
-            if len(h) < 4:
-                self.short.setdefault(int(h[0]), []).append(k)
+            if len(c) < WORD:
+                borders = np.linspace(0, len(c), int(self.most[k]) + 2).astype(int)
+                for a, b in zip(borders, borders[1:]):
+                    keys, refs = short.setdefault(min(4, b - a), ([], []))
+                    keys.append(self.gram(c[a : a + 4], min(4, b - a))[0])
+                    refs.append((k, a))
                 continue
-            padded = np.r_[h, np.zeros(self.walks.steps + 1, np.uint64)]
-            found = self.walks.keys(padded, np.arange(len(h)))
-            for row, size in enumerate(self.walks.sizes):
-                n = len(h) - size + 1 if size > 4 or len(h) < 8 else 0  # four words are too common to list them for longer items
-                if n > 0:
-                    keys.append(found[row, :n])
-                    refs.append(np.stack((np.full(n, k), np.arange(n)), 1))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        refs = np.concatenate(refs) if refs else np.zeros((0, 2), np.int64)
+            for r, (keys, refs) in enumerate(each):  # walks that leave the item depend on what follows it
+                found, other = (self.walks.keys(np.r_[c, np.full(steps, pad, np.uint8)], r) for pad in (BORDER, 0))
+                at = np.flatnonzero(found == other)
+                keys.append(found[at])
+                refs.append(np.stack((np.full(len(at), k), at), 1))
+        self.masks = np.array(chunks, np.uint64).reshape(-1, CLASSES)
+        self.chunk_length, self.first_chunk = np.array(self.chunk_length, np.int64), np.array(self.first_chunk, np.int64)
+        self.tables = [self._table(np.concatenate(k), np.concatenate(r)) if k else None for k, r in each]
+        self.short = {size: self._table(np.array(k, np.uint32), np.array(r)) for size, (k, r) in short.items()}
+
+    @staticmethod
+    def gram(classes: np.ndarray, size: int) -> np.ndarray:
+        """A number for the `size` (1 to 4) characters from each place on, spread over 32 bits."""
+        n = len(classes) - size + 1
+        packed = np.zeros(max(n, 0), np.uint32)
+        for k in range(size):
+            packed = packed << np.uint32(7) | classes[k : n + k]
+        return (packed + np.uint32(1)) * np.uint32(0x9E3779B1)
+
+    @staticmethod
+    def _table(keys: np.ndarray, refs: np.ndarray) -> tuple:
         order = np.argsort(keys, kind="stable")
-        self.keys, self.refs = keys[order], refs[order]
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[self.keys >> np.uint64(42)] = True
-
-    def candidates(self, words: np.ndarray) -> np.ndarray:
-        """(word of the text where the item would begin, item) for all key matches of a piece of text."""
-        found = []
-        padded = np.r_[words, np.zeros(self.walks.steps + 1, np.uint64)]
-        for at in range(0, len(words) if len(self.keys) else 0, BLOCK):
-            n = min(BLOCK, len(words) - at)
-            keys = self.walks.keys(padded[at : at + n + self.walks.steps + 1], np.arange(n))
-            rows, cols = np.nonzero(self.bitmap[keys >> np.uint64(42)])
-            hit = keys[rows, cols]
-            low, high = np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")
+        keys, refs = keys[order], refs[order].astype(np.int32)
+        bits = min(26, max(16, (16 * len(keys)).bit_length()))
+        bitmap = np.zeros(1 << bits, bool)
+        bitmap[keys >> np.uint32(32 - bits)] = True
+        return keys, refs, np.uint32(32 - bits), bitmap
+
+    @staticmethod
+    def _met(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys in the table, and the (item, character) listed there."""
+        known, refs, shift, bitmap = table
+        at = np.flatnonzero(bitmap[keys >> shift])
+        low, high = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
+        n = high - low
+        which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), refs[which].astype(np.int64)
+
+    def meetings(self, classes: np.ndarray) -> Iterator[np.ndarray]:
+        """(place, item, its character) of the walks and pieces met, block by block."""
+        padded = np.r_[classes, np.full(max(self.walks.steps, 4), BORDER, np.uint8)]
+        for begin in range(0, len(classes), BLOCK):
+            n = min(BLOCK, len(classes) - begin)
+            found = [self._met(table, self.walks.keys(padded[begin : begin + n + self.walks.steps], r)) for r, table in enumerate(self.tables) if table]
+            found += [self._met(table, self.gram(padded[begin : begin + n + size - 1], size)) for size, table in self.short.items()]
+            for at, refs in found:
+                if len(at):
+                    yield np.c_[at + begin, refs]
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """(place where the item would begin, item) of the meetings whose surroundings are near enough."""
+        classes = classes_of(codes)
+        kept = []
+        held, size = [], 0
+
+        def test() -> None:
+            m = np.concatenate(held)
+            k, at = m[:, 1], m[:, 0] - m[:, 2]
+            chunk = np.clip((m[:, 2] + 8 - WORD // 4) // (WORD // 2), 0, np.maximum(0, -(-(self.lengths[k] - WORD) // (WORD // 2))))
+            _, first = np.unique(np.stack((at, k << 20 | chunk)), axis=1, return_index=True)
+            k, at, chunk = k[first], at[first], chunk[first]
+            begin = np.maximum(0, np.minimum(chunk * (WORD // 2), self.lengths[k] - WORD))
+            which = self.first_chunk[k] + chunk
+            length = self.chunk_length[which]
+            most = np.where(self.lengths[k] <= WORD, self.most[k], (length * min(0.95, 1.6 * self.share)).astype(np.int64))
+            low = np.maximum(0, at + begin - most)
+            high = np.minimum(len(classes), at + begin + length + most)
             some = high > low
-            low, n, cols = low[some], (high - low)[some], cols[some]
-            which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            refs = self.refs[which]
-            found.append(np.stack((np.repeat(cols, n) + at - refs[:, 1], refs[:, 0]), 1))
-        for first, items in self.short.items():
-            at = np.flatnonzero(words == np.uint64(first))
-            found += [np.stack((at, np.full(len(at), k)), 1) for k in items]
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-def search(items: Items, raw: np.ndarray, offsets: np.ndarray, share: float) -> Iterator[tuple]:
+            k, at, which, low, high, most = (x[some] for x in (k, at, which, low, high, most))
+            near = chunk_distances(self.masks, self.chunk_length, which, classes, low, high) <= most
+            kept.append(np.stack((at[near], k[near]), 1))
+
+        for m in self.meetings(classes):
+            held.append(m)
+            size += len(m)
+            if size > 1 << 16:
+                test()
+                held, size = [], 0
+        if held:
+            test()
+        return np.unique(np.concatenate(kept), axis=0) if kept else np.zeros((0, 2), np.int64)
+
+
+def search(items: Items, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
     """(text number, item number, distance, first word, last word + 1) of each text and item that match, the best place of each."""
-    words, at, starts, ends = word_hashes(raw, offsets)
-    found = items.candidates(words)
+    codes, at = characters(raw, offsets)
+    found = items.candidates(codes) if len(items.masks) else np.zeros((0, 2), np.int64)
     if not len(found):
         return
-    slack = np.array([n // 4 + 2 for n in items.lengths])
-    # every text that the item's words would touch: the key may have met any of them, also one that lacks both ends of the item
-    length = np.array(items.lengths)[found[:, 1]]
-    low, high = (np.searchsorted(at, np.clip(found[:, 0] + n, 0, len(words) - 1), "right") - 1 for n in (0, length - 1))
+    # every text that the item would touch: a text may lack both ends of it
+    length = items.lengths[found[:, 1]]
+    low, high = (np.searchsorted(at, np.clip(found[:, 0] + n, 0, len(codes) - 1), "right") - 1 for n in (0, length - 1))
     n = high - low + 1
     which = np.repeat(np.arange(len(found)), n)
     text = low[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rows = zip(text.tolist(), found[which, 1].tolist(), found[which, 0].tolist())
     places: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for t, i, p in rows:
+    for t, i, p in zip(text.tolist(), found[which, 1].tolist(), found[which, 0].tolist()):
         places[t, i].append(p)
     for (t, i), begin in sorted(places.items()):
-        pattern, k = items.texts[i], int(slack[i])
-        most = int(len(pattern) * share)
+        pattern, most = items.texts[i], int(items.most[i])
         best = None
         begin.sort()
         groups, last = [], None
-        for p in begin:  # places closer than the slack are one region
-            if last is None or p - last > k:
+        for p in begin:  # places closer than the edits allowed are one region
+            if last is None or p - last > most:
                 groups.append([p, p])
             groups[-1][1] = last = p
         for low, high in groups:
-            a, b = max(low - k, int(at[t])), min(high + items.lengths[i] + k, int(at[t + 1]))
-            if a >= b:
-                continue
-            region = normal(raw[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"))
-            if len(region) < len(pattern) - most:
+            a, b = max(low - most, int(at[t])), min(high + len(pattern) + most, int(at[t + 1]) - 1)
+            if b - a < len(pattern) - most:
                 continue
-            distance, end = best_part(pattern, region)
+            region = codes[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+            same = region.find(pattern)
+            distance, end = (0, same + len(pattern)) if same >= 0 else best_part(pattern, region)
             if distance <= most and (best is None or distance < best[0]):
-                part = region[:end]
-                begins = end - best_part(pattern[::-1], part[::-1])[1]
-                best = (distance, a + part[:begins].count(" "), a + part.rstrip(" ").count(" ") + 1)
+                begins = same if same >= 0 else end - best_part(pattern[::-1], region[:end][::-1])[1]
+                best = (distance, a + begins, a + end)
             if best and not best[0]:
                 break
         if best:
-            yield t, i, best[0], best[1] - int(at[t]), best[2] - int(at[t])
+            blanks = np.flatnonzero(codes[at[t] : best[2]] == 32) + at[t]
+            first = int(np.searchsorted(blanks, best[1] + (codes[best[1]] == 32)))
+            yield t, i, best[0], first, int(np.searchsorted(blanks, best[2] - 1)) + 1
 
 
 def block_count(items: DataFrame, text: str, block_items: int) -> int:
@@ -203,7 +316,7 @@ def block_count(items: DataFrame, text: str, block_items: int) -> int:
     return max(1, -(-n // block_items), -(-(chars or 0) // (block_items * 1000)))
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, repeats: int = 4, sampled: int = 7, block_items: int = 20_000, keep_row: bool = False) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, repeats: int = 3, steps: int = 30, sampled: int = 20, block_items: int = 4000, keep_row: bool = False) -> DataFrame:
     """doc_id, item_id, distance (characters), similarity, first_word, end_word of each document row and item that match."""
     spark = docs.sparkSession
     named = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
@@ -216,13 +329,13 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow() if blocks > 1 else named.toArrow()
         pairs = sorted(((r["item_id"], r["text"]) for r in rows.to_pylist()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
         item_type = rows.schema.field("item_id").type
-        shared = spark.sparkContext.broadcast(Items(pairs, repeats, sampled))
+        shared = spark.sparkContext.broadcast(Items(pairs, 1 - similarity + 1e-9, repeats, steps, sampled))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value  # noqa: B023
             for b in pieces(batches, "text"):
                 best: dict[tuple, tuple] = {}
-                for t, i, distance, first, end in search(block, *buffers(b.column(1)), 1 - similarity + 1e-9):
+                for t, i, distance, first, end in search(block, *buffers(b.column(1))):
                     key, new = (t, block.ids[i]), (distance, first, end, 1 - distance / len(block.texts[i]))
                     best[key] = min(best.get(key, new), new)
                 if best:
@@ -238,7 +351,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return out if keep_row else out.drop("_row")
 
 
-def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", similarity: float = 0.8, repeats: int = 4, sampled: int = 7, block_items: int = 20_000) -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", similarity: float = 0.8, repeats: int = 3, steps: int = 30, sampled: int = 20, block_items: int = 4000) -> DataFrame:
     """The rows of docs that match no item, with all their columns; rows are judged where they are, without a join."""
     spark = docs.sparkSession
     named = items.select(F.col(item_text).alias("text")).where(F.col(item_text).isNotNull())
@@ -248,12 +361,12 @@ def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: st
     out = docs
     for block in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow() if blocks > 1 else named.toArrow()
-        shared = spark.sparkContext.broadcast(Items([(None, t) for t in sorted(rows.column(0).to_pylist())], repeats, sampled))
+        shared = spark.sparkContext.broadcast(Items([(None, t) for t in sorted(rows.column(0).to_pylist())], 1 - similarity + 1e-9, repeats, steps, sampled))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value  # noqa: B023
             for b in pieces(batches, text):
-                hit = {t for t, *_ in search(block, *buffers(b.column(names.index(text))), 1 - similarity + 1e-9)}
+                hit = {t for t, *_ in search(block, *buffers(b.column(names.index(text))))}
                 yield b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_())) if hit else b
 
         out = out.mapInArrow(run, types)
