@@ -100,7 +100,7 @@ def test_deduplicated(spark, odd):
     kept = dedup.deduplicated(odd)
     assert kept.columns == odd.columns and kept.exceptAll(odd).count() == 0
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda d: (d is None, d))
-    assert ids == [1, 2, 3, 4, 5, 6, 7, 9, 10, None, None]
+    assert ids == [1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12, None, None]
     rows = spark.createDataFrame([(k, plain(30, seed=k // 2), "en", "s", 1) for k in range(20)], SCHEMA)
     assert sorted(r["doc_id"] for r in dedup.deduplicated(rows).collect()) == list(range(0, 20, 2))
 
