@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import glob
+import os
 import shutil
 import tempfile
 import uuid
@@ -75,6 +78,15 @@ def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
         _delete(spark, _written.pop(0))
 
 
+def one_thread() -> None:
+    """Has numpy's OpenBLAS use one thread in this process: for small products, threads that wait double the CPU time."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 

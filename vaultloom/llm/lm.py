@@ -5,9 +5,10 @@ go out with the tasks; counts of all other words stay a table and are joined by
 The network knows the end mark, the most frequent words and one mark for any other word; these are dealt by rank into
 classes, and a word's probability is that of its class times that within its class (times its smoothed share of the other
 words, from the counts over all training rows). Training is truncated backpropagation over windows of `WINDOW` tokens with
-the state carried on; each task trains on all training documents of its split (`train_every` above 1
-takes one in so many, by hash) and the tasks' weights are averaged by their tokens, `rounds` times. Scoring goes through
-whole documents window by window, the state carried across.
+the state carried on. The training rows are dealt into `rounds` parts by hash; in each round every task trains on its rows of
+one part, from common weights, and the tasks' weights are averaged by their tokens. So every training row is trained on once,
+and later rounds start from what earlier ones learned of the whole corpus. Scoring goes through whole documents window by
+window, the state carried across.
 
 Defined results: null text counts as empty and has the end token only; ids may repeat or be null (null counts as the empty
 text in the split); other columns are ignored; an empty table gives no rows; with no training row every token is unknown.
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, pieces, scratch, word_hashes
+from .common import buffers, mix, one_thread, pieces, scratch, word_hashes
 from .langid import remainder
 
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
-CLASSES, MEMBERS = 32, 32
+CLASSES, MEMBERS = 64, 64
 WORDS = CLASSES * MEMBERS
 HIDDEN = 24
-STREAMS, WINDOW, CHUNK = 64, 20, 4096
+STREAMS, WINDOW, CHUNK = 256, 20, 4096
 FAN_IN = 64
 END_ID, OTHER_ID = 0, 1
 Weights = dict[str, np.ndarray]
@@ -143,14 +144,19 @@ class Adam:
         self.w, self.rate, self.k = w, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
 
-    def apply(self, grad: Weights, scale: float) -> None:
+    def apply(self, grad: Weights, scale: float, words: np.ndarray) -> None:
+        """words: the ids that the window reads; only their input rows move."""
         self.k += 1
         rate = self.rate * (1 - 0.99**self.k) ** 0.5 / (1 - 0.9**self.k)
         for k, g in grad.items():
-            g = np.clip(g * scale, -1, 1)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.w[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+            at = words if k == "inputs" else slice(None)
+            g = np.clip(g[at] * scale, -1, 1)
+            m, v = self.m[k][at], self.v[k][at]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.w[k][at] -= rate * m / (np.sqrt(v) + 1e-6)
+            if k == "inputs":
+                self.m[k][at], self.v[k][at] = m, v
 
 
 def train(adam: Adam, ids: np.ndarray, offsets: np.ndarray) -> int:
@@ -168,7 +174,7 @@ def train(adam: Adam, ids: np.ndarray, offsets: np.ndarray) -> int:
     h = np.zeros((streams, HIDDEN), np.float32)
     for t in range(0, long, WINDOW):
         grad, h, _ = backward(adam.w, x[t : t + WINDOW], y[t : t + WINDOW], h, f[t : t + WINDOW])
-        adam.apply(grad, 1 / (streams * WINDOW) ** 0.5)
+        adam.apply(grad, 1 / (streams * WINDOW) ** 0.5, np.unique(x[t : t + WINDOW]))
     return streams * long
 
 
@@ -244,7 +250,7 @@ class Vocabulary:
 
 
 def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: float) -> Weights:
-    """Local training in each task from common weights, then averages by tokens; `rounds` times. texts: (text)."""
+    """In each round, local training from common weights in each task, then averages by tokens. texts: (text, part), part below `rounds`."""
     spark = texts.sparkSession
     names = list(shapes())
     flat = lambda w: np.concatenate([w[k].ravel() for k in names])
@@ -263,6 +269,7 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
+            one_thread()
             words = vocabulary.value
             adam, used = Adam(unflat(start.value.copy()), rate / (1 + k)), 0  # noqa: B023
             for b in pieces(batches, "text", 1 << 22):
@@ -280,7 +287,7 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
 
         # a tree of sums: no group has more than FAN_IN rows of CHUNK numbers, however many tasks there are
         schema, tasks = "part int, task long, sums binary, used long", texts.rdd.getNumPartitions()
-        sums = texts.mapInArrow(run, schema)
+        sums = texts.where(F.col("part") == k).select("text").mapInArrow(run, schema)
         while True:
             sums = sums.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("_up")).applyInArrow(add, schema)
             if tasks <= FAN_IN:
@@ -293,7 +300,7 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
     return weights
 
 
-def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, heads: int = 1 << 17, train_every: int = 1, rounds: int = 1, rate: float = 0.015) -> DataFrame:
+def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, heads: int = 1 << 17, rounds: int = 2, rate: float = 0.015) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learns from rows whose crc32(doc_id) mod `folds` is not `held_out`."""
     spark = df.sparkSession
     out = remainder(doc_id, folds) == held_out
@@ -304,11 +311,12 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
     top = counts.orderBy(F.desc("n"), "word").limit(heads).toArrow()
     own = Vocabulary(top.column("word").to_numpy(), top.column("n").to_numpy(), sums["n"], sums["v"])
     vocabulary = spark.sparkContext.broadcast(own)
-    chosen = learn.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(train_every)) == 0).select("text")
+    chosen = learn.select("text", F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(rounds)).alias("part"))
     weights = spark.sparkContext.broadcast(trained(chosen, vocabulary, initial(own.id_counts), rounds, rate))
     kind = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         words, w = vocabulary.value, weights.value
         logs = np.r_[np.log10(words.counts + 1.0) - words.log_all, 0.0]  # a token that isn't in the table adds its part later
         other_logs = np.r_[np.where(words.ids == OTHER_ID, np.log10(words.counts + 1.0) - words.log_other, 0.0), 0.0]
