@@ -27,10 +27,11 @@ from .common import buffers, mix, one_thread, pieces, scratch, word_hashes
 from .langid import remainder
 
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
-CLASSES, MEMBERS = 64, 64
+CLASSES, MEMBERS = 48, 48
 WORDS = CLASSES * MEMBERS
 HIDDEN = 24
-STREAMS, WINDOW, CHUNK = 256, 20, 4096
+STREAMS, WINDOW, CHUNK = 512, 20, 4096
+PIECE = 1 << 24
 FAN_IN = 64
 END_ID, OTHER_ID = 0, 1
 Weights = dict[str, np.ndarray]
@@ -73,38 +74,48 @@ def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     return h + z * (n - h), (x, h, z, r, v, n)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax_parts(x: np.ndarray, y: np.ndarray, rows: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of column y of each row of logits x (changed in place), and, if wanted, the gradient of its negative."""
+    np.clip(x, -60, 60, out=x)  # far beyond what a state of values within 1 gives; no row needs its maximum then
+    chosen = x[rows, y]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    log = chosen - np.log(total)
+    if not want:
+        return log, None
+    x *= (1 / total)[:, None]
+    x[rows, y] -= 1
+    return log, x
 
 
 def outputs(w: Weights, h: np.ndarray, y: np.ndarray, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each word y after state h; with grad, adds gradients and returns those of h."""
+    order = np.argsort(y, kind="stable")
+    h, y = h[order], y[order]
     c, m = y // MEMBERS, y % MEMBERS
     rows = np.arange(len(y))
-    first = log_softmax(h @ w["classes"] + w["class_bias"])
-    total = first[rows, c]
+    found, d = softmax_parts(h @ w["classes"] + w["class_bias"], c, rows, grad is not None)
     dh = None
     if grad is not None:
-        d = np.exp(first)
-        d[rows, c] -= 1
         grad["classes"] += h.T @ d
         grad["class_bias"] += d.sum(0)
         dh = d @ w["classes"].T
-    order = np.argsort(c, kind="stable")
-    borders = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    borders = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
     for k in range(CLASSES):
-        at = order[borders[k] : borders[k + 1]]
-        if len(at):
-            second = log_softmax(h[at] @ w["members"][k] + w["member_bias"][k])
-            inner = np.arange(len(at))
-            total[at] += second[inner, m[at]]
+        a, b = borders[k], borders[k + 1]
+        if a < b:
+            second, d = softmax_parts(h[a:b] @ w["members"][k] + w["member_bias"][k], m[a:b], rows[: b - a], grad is not None)
+            found[a:b] += second
             if grad is not None:
-                d = np.exp(second)
-                d[inner, m[at]] -= 1
-                grad["members"][k] += h[at].T @ d
+                grad["members"][k] += h[a:b].T @ d
                 grad["member_bias"][k] += d.sum(0)
-                dh[at] += d @ w["members"][k].T
+                dh[a:b] += d @ w["members"][k].T
+    total = np.empty_like(found)
+    total[order] = found
+    if grad is not None:
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back
     return total, dh
 
 
@@ -168,8 +179,8 @@ def train(adam: Adam, ids: np.ndarray, offsets: np.ndarray) -> int:
     before = np.r_[END_ID, ids[:-1]]
     fresh = np.zeros(len(ids) + 1, bool)
     fresh[offsets] = True
-    cut = lambda a: a[: streams * long].reshape(streams, long).T
-    x, y, f = cut(before), cut(ids), cut(fresh[:-1]).copy()
+    cut = lambda a: a[: streams * long].reshape(streams, long).T.copy()
+    x, y, f = cut(before), cut(ids), cut(fresh[:-1])
     f[0] = True
     h = np.zeros((streams, HIDDEN), np.float32)
     for t in range(0, long, WINDOW):
@@ -272,7 +283,7 @@ def trained(texts: DataFrame, vocabulary, weights: Weights, rounds: int, rate: f
             one_thread()
             words = vocabulary.value
             adam, used = Adam(unflat(start.value.copy()), rate / (1 + k)), 0  # noqa: B023
-            for b in pieces(batches, "text", 1 << 22):
+            for b in pieces(batches, "text", PIECE):
                 tokens, offsets = token_streams(b.column(0))
                 used += train(adam, words.find(tokens)[1], offsets)
             if used:
@@ -320,7 +331,7 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
         words, w = vocabulary.value, weights.value
         logs = np.r_[np.log10(words.counts + 1.0) - words.log_all, 0.0]  # a token that isn't in the table adds its part later
         other_logs = np.r_[np.where(words.ids == OTHER_ID, np.log10(words.counts + 1.0) - words.log_other, 0.0), 0.0]
-        for b in pieces(batches, "text", 1 << 22):
+        for b in pieces(batches, "text", PIECE):
             tokens, offsets = token_streams(b.column(1))
             place, ids = words.find(tokens)
             n = np.diff(offsets)
