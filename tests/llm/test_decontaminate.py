@@ -129,12 +129,15 @@ def test_characters_like_normal(odd):
 
     texts = [r["text"] or "" for r in odd.collect()] + [" a\t\nB  ", "É\u2003x", "\x00 ", ""]
     raw = [t.encode() for t in texts]
-    codes, at = decontaminate.characters(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
-    assert ["".join(map(chr, codes[a : b - 1])) for a, b in zip(at, at[1:])] == [decontaminate.normal(t) for t in texts]
-    assert all(codes[at[1:] - 1] == decontaminate.BORDER)
-    broken = np.frombuffer(b"a\xff b\xc3", np.uint8)
-    codes, at = decontaminate.characters(broken, np.array([0, 4, 5]))
-    assert "".join(map(chr, codes)) == "a\ufffd b\n\ufffd\n" and at.tolist() == [0, 5, 7]
+    data = b"".join(raw)
+    classes, keep, at = decontaminate.characters(np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    for t, a, b in zip(texts, at, at[1:]):
+        want = decontaminate.normal(t)
+        assert len(want) == b - a and all(c < 128 and (chr(c) == w if ord(w) < 128 else 65 <= c <= 90) for c, w in zip(classes[a:b].tolist(), want))
+    assert keep.sum() == len(classes) == at[-1]
+    classes, keep, at = decontaminate.characters(np.frombuffer(b"a\xff  b\xc3", np.uint8), np.array([0, 5, 6]))
+    assert at.tolist() == [0, 4, 5] and chr(classes[0]) == "a" and chr(classes[2]) == " " and chr(classes[3]) == "b"
+    assert decontaminate.characters(np.zeros(0, np.uint8), np.array([0, 0]))[2].tolist() == [0, 0]
 
 
 def test_trimmed_items_as_whole_documents(spark):

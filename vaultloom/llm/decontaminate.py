@@ -4,15 +4,14 @@ The CGK walk reads characters: at step j it puts out the character under its poi
 that character is set. Two texts a few edits apart fall back into step, so their walks differ at few of the steps. A key is a
 hash of the walk at `sampled` random steps of `steps`; each of the `repeats` has walk bits and sampled steps of its own.
 A walk over a whole item is out of step for good once every fifth character is edited, so an item-sized window is keyed at all
-its characters: every character of an item and of a document begins a walk, and one that meets is enough (tests/llm measures
-the recall). All walks that begin at neighbouring characters share their tails, so keys are computed backwards, from the last
-step to the first, for all characters at once.
+its characters: every character of an item and every `stride`-th of a document begins a walk of `steps` steps, and one walk of
+the window that meets is enough (tests/llm measures the recall).
 
 A meeting is tested by the edit distance of the 64 characters of the item around it (bit vectors, many meetings at once); what
 is left is verified by the exact character edit distance between the item and the best-fitting part of the document.
 Items of fewer than 64 characters are searched without loss: cut into one piece more than the edits allowed, one piece must be unedited.
 
-Items go out with the tasks in blocks of at most `block_items` (by hash of the id), about 16 kB an item, so the size of a
+Items go out with the tasks in blocks of at most `block_items` (by hash of the id), about 20 kB an item, so the size of a
 block is bounded and any number of items is served, at one pass over the documents a block; documents are never shuffled.
 
 Defined results: null or blank texts and items match nothing; ids may repeat or be null (each row of documents stands for
@@ -22,6 +21,7 @@ rows; whole texts are searched, at any character, also within words.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,7 +34,9 @@ from .common import buffers, pieces
 
 CLASSES, WORD = 128, 64
 BORDER = 10
-BLOCK = 1 << 15
+BLOCK = 1 << 14
+_BLANKS = re.compile("[\t-\r ]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def normal(text: str) -> str:
@@ -71,60 +73,76 @@ def best_part(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of normal(text) of all texts, each followed by BORDER, and the n + 1 places where texts begin."""
-    text = raw.tobytes().decode("utf-8", "replace")
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
-    ends = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=ends[1:])
-    if len(codes) != ends[-1]:  # broken UTF-8
-        texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).copy()
-        at = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
-    else:
-        at = ends[offsets]
-    codes[(codes >= 65) & (codes <= 90)] += 32
-    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    codes[blank] = 32
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One of CLASSES values for each character of normal(text) of all texts, laid end to end, from their UTF-8 bytes.
+
+    ASCII stands for itself, other characters share the values of A to Z, which no normal text has. Also returned: which
+    bytes begin those characters, and the n + 1 places where texts begin.
+    """
+    n = len(raw)
+    classes = _CLASS[raw]
+    blank = classes == 32
+    keep = raw & 0xC0 != 0x80
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
     # a blank stays if a word of the same text came right before it and another one follows
-    edge = np.zeros(len(codes) + 1, bool)
-    edge[at] = True
-    keep = ~blank
-    keep[1:] |= ~blank[:-1] & ~edge[1:-1]
-    at = np.r_[0, np.cumsum(keep)][at]
-    codes, blank = codes[keep], blank[keep]
-    last = at[1:][at[1:] > at[:-1]] - 1
-    keep = np.ones(len(codes), bool)
-    keep[last[blank[last]]] = False
-    at = np.r_[0, np.cumsum(keep)][at]
-    return np.insert(codes[keep], at[1:], BORDER), at + np.arange(len(at))
+    keep[1:] &= ~(blank[1:] & (blank[:-1] | edge[1:-1]))
+    if n:
+        keep[0] &= not blank[0]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        mixed = raw[lead].astype(np.uint32) * np.uint32(31) + raw[np.minimum(lead + 1, n - 1)] * np.uint32(7)
+        wide = raw[lead] >= 0xE0
+        mixed[wide] = mixed[wide] * np.uint32(13) + raw[np.minimum(lead[wide] + 2, n - 1)]
+        classes[lead] = 65 + mixed % np.uint32(26)
+    for k in np.flatnonzero(np.diff(offsets)).tolist():  # the blank at a text's end, before the blanks that went already
+        at, begin = int(offsets[k + 1]) - 1, int(offsets[k])
+        while at >= begin and not keep[at]:
+            at -= 1
+        if at >= begin and blank[at]:
+            keep[at] = False
+    counts = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+    np.cumsum(keep, out=counts[1:])
+    return classes[keep], keep, counts[offsets].astype(np.int64)
+
+
+def _class_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    out[9:14] = 32
+    out[128:] = 65  # bytes within a character; its first one is set apart
+    return out
 
 
-def classes_of(codes: np.ndarray) -> np.ndarray:
-    """One of CLASSES values a character: ASCII as it is, others share the values of A to Z, which no normal text has."""
-    return np.where(codes < 128, codes, 65 + (codes * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(26)).astype(np.uint8)
+_CLASS = _class_table()
 
 
 class Walks:
-    """Keys of the walks that begin at each character, one array a repeat."""
+    """Keys of walks that begin at given characters, one array a repeat."""
 
     def __init__(self, repeats: int, steps: int, sampled: int, seed: int = 11):
         random = np.random.default_rng(seed)
         self.repeats, self.steps = repeats, steps
-        self.moves = random.integers(0, 2, (repeats, steps, CLASSES)).astype(bool)
-        self.adds = random.integers(0, 1 << 32, (repeats, steps, CLASSES), dtype=np.uint32)
+        self.bits = random.integers(-(1 << 63), 1 << 63, (repeats, CLASSES), dtype=np.int64)
+        self.order = random.permuted(np.tile(np.arange(62), (repeats, 1)), axis=1)  # the bit that moves the pointer at each step
         self.sampled = np.array([np.isin(np.arange(steps), random.choice(steps, min(sampled, steps), replace=False)) for _ in range(repeats)])
 
-    def keys(self, classes: np.ndarray, repeat: int) -> np.ndarray:
-        """classes: of the characters, followed by `steps` of anything. v holds what the steps from j on give, by the place of the pointer at j."""
-        n = len(classes) - self.steps
-        v = np.zeros(n + self.steps, np.uint32)
-        for j in range(self.steps - 1, -1, -1):
-            here = classes[: n + j]
-            v = np.where(self.moves[repeat, j][here], v[1 : n + j + 1], v[: n + j])
+    def keys(self, classes: np.ndarray, starts: np.ndarray, repeat: int) -> np.ndarray:
+        """classes: of the characters, followed by at least `steps` of anything."""
+        bits, at = self.bits[repeat][classes], starts.astype(np.int64)
+        total, here, move = np.zeros(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        for j in range(self.steps):
+            np.take(bits, at, out=here, mode="clip")
             if self.sampled[repeat, j]:
-                v += self.adds[repeat, j][here]
-        return v
+                total *= _FACTOR
+                total += here
+            np.right_shift(here, self.order[repeat, j % 62], out=move)
+            move &= 1
+            at += move
+        return (total * _FACTOR).view(np.uint64)
+
+
+_FACTOR = np.int64(0x5851F42D4C957F2D)
 
 
 def chunk_distances(masks: np.ndarray, lengths: np.ndarray, which: np.ndarray, classes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -157,10 +175,10 @@ def chunk_distances(masks: np.ndarray, lengths: np.ndarray, which: np.ndarray, c
 class Items:
     """A block of items with the keys of all their walks (or of the pieces of short ones), and bit masks of their chunks."""
 
-    def __init__(self, rows: list[tuple], share: float, repeats: int, steps: int, sampled: int):
+    def __init__(self, rows: list[tuple], share: float, repeats: int, steps: int, sampled: int, stride: int):
         self.ids = [r[0] for r in rows]
         self.texts = [normal(r[1]) for r in rows]
-        self.share = share
+        self.share, self.stride = share, stride
         self.walks = Walks(repeats, steps, sampled)
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.most = (self.lengths * share).astype(np.int64)
@@ -168,7 +186,8 @@ class Items:
         short: dict[int, tuple[list, list]] = {}
         chunks, self.chunk_length, self.first_chunk = [], [], []
         for k, t in enumerate(self.texts):
-            c = classes_of(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
+            raw = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
+            c = characters(raw, np.array([0, len(raw)]))[0]
             self.first_chunk.append(len(chunks))
             for a in range(0, max(len(c) - WORD // 2, min(1, len(c))), WORD // 2):
                 a = max(0, min(a, len(c) - WORD))
@@ -186,23 +205,23 @@ class Items:
                     refs.append((k, a))
                 continue
             for r, (keys, refs) in enumerate(each):  # walks that leave the item depend on what follows it
-                found, other = (self.walks.keys(np.r_[c, np.full(steps, pad, np.uint8)], r) for pad in (BORDER, 0))
+                found, other = (self.walks.keys(np.r_[c, np.full(steps, pad, np.uint8)], np.arange(len(c)), r) for pad in (BORDER, 0))
                 at = np.flatnonzero(found == other)
                 keys.append(found[at])
                 refs.append(np.stack((np.full(len(at), k), at), 1))
         self.masks = np.array(chunks, np.uint64).reshape(-1, CLASSES)
         self.chunk_length, self.first_chunk = np.array(self.chunk_length, np.int64), np.array(self.first_chunk, np.int64)
         self.tables = [self._table(np.concatenate(k), np.concatenate(r)) if k else None for k, r in each]
-        self.short = {size: self._table(np.array(k, np.uint32), np.array(r)) for size, (k, r) in short.items()}
+        self.short = {size: self._table(np.array(k, np.uint64), np.array(r)) for size, (k, r) in short.items()}
 
     @staticmethod
     def gram(classes: np.ndarray, size: int) -> np.ndarray:
-        """A number for the `size` (1 to 4) characters from each place on, spread over 32 bits."""
+        """A number for the `size` (1 to 4) characters from each place on, spread over 64 bits."""
         n = len(classes) - size + 1
-        packed = np.zeros(max(n, 0), np.uint32)
+        packed = np.zeros(max(n, 0), np.uint64)
         for k in range(size):
-            packed = packed << np.uint32(7) | classes[k : n + k]
-        return (packed + np.uint32(1)) * np.uint32(0x9E3779B1)
+            packed = packed << np.uint64(7) | classes[k : n + k]
+        return (packed + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
     @staticmethod
     def _table(keys: np.ndarray, refs: np.ndarray) -> tuple:
@@ -210,8 +229,8 @@ class Items:
         keys, refs = keys[order], refs[order].astype(np.int32)
         bits = min(26, max(16, (16 * len(keys)).bit_length()))
         bitmap = np.zeros(1 << bits, bool)
-        bitmap[keys >> np.uint32(32 - bits)] = True
-        return keys, refs, np.uint32(32 - bits), bitmap
+        bitmap[keys >> np.uint64(64 - bits)] = True
+        return keys, refs, np.uint64(64 - bits), bitmap
 
     @staticmethod
     def _met(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,19 +243,22 @@ class Items:
         return np.repeat(at, n), refs[which].astype(np.int64)
 
     def meetings(self, classes: np.ndarray) -> Iterator[np.ndarray]:
-        """(place, item, its character) of the walks and pieces met, block by block."""
+        """(place, item, its character) of the walks and pieces met, block by block. Every `stride`-th character begins walks."""
         padded = np.r_[classes, np.full(max(self.walks.steps, 4), BORDER, np.uint8)]
-        for begin in range(0, len(classes), BLOCK):
-            n = min(BLOCK, len(classes) - begin)
-            found = [self._met(table, self.walks.keys(padded[begin : begin + n + self.walks.steps], r)) for r, table in enumerate(self.tables) if table]
-            found += [self._met(table, self.gram(padded[begin : begin + n + size - 1], size)) for size, table in self.short.items()]
-            for at, refs in found:
-                if len(at):
-                    yield np.c_[at + begin, refs]
-
-    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        block = BLOCK * self.stride
+        for begin in range(0, len(classes), block):
+            n = min(block, len(classes) - begin)
+            starts, part = np.arange(0, n, self.stride), padded[begin : begin + n + self.walks.steps]
+            for r, table in enumerate(self.tables):
+                if table:
+                    at, refs = self._met(table, self.walks.keys(part, starts, r))
+                    yield np.c_[at * self.stride + begin, refs]
+            for size, table in self.short.items():
+                at, refs = self._met(table, self.gram(padded[begin : begin + n + size - 1], size))
+                yield np.c_[at + begin, refs]
+
+    def candidates(self, classes: np.ndarray) -> np.ndarray:
         """(place where the item would begin, item) of the meetings whose surroundings are near enough."""
-        classes = classes_of(codes)
         kept = []
         held, size = [], 0
 
@@ -258,6 +280,8 @@ class Items:
             kept.append(np.stack((at[near], k[near]), 1))
 
         for m in self.meetings(classes):
+            if not len(m):
+                continue
             held.append(m)
             size += len(m)
             if size > 1 << 16:
@@ -270,13 +294,14 @@ class Items:
 
 def search(items: Items, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
     """(text number, item number, distance, first word, last word + 1) of each text and item that match, the best place of each."""
-    codes, at = characters(raw, offsets)
-    found = items.candidates(codes) if len(items.masks) else np.zeros((0, 2), np.int64)
+    classes, keep, at = characters(raw, offsets)
+    found = items.candidates(classes) if len(items.masks) else np.zeros((0, 2), np.int64)
     if not len(found):
         return
+    byte = np.r_[np.flatnonzero(keep), len(raw)]
     # every text that the item would touch: a text may lack both ends of it
     length = items.lengths[found[:, 1]]
-    low, high = (np.searchsorted(at, np.clip(found[:, 0] + n, 0, len(codes) - 1), "right") - 1 for n in (0, length - 1))
+    low, high = (np.searchsorted(at, np.clip(found[:, 0] + n, 0, len(classes) - 1), "right") - 1 for n in (0, length - 1))
     n = high - low + 1
     which = np.repeat(np.arange(len(found)), n)
     text = low[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -293,10 +318,11 @@ def search(items: Items, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
                 groups.append([p, p])
             groups[-1][1] = last = p
         for low, high in groups:
-            a, b = max(low - most, int(at[t])), min(high + len(pattern) + most, int(at[t + 1]) - 1)
+            a, b = max(low - most, int(at[t])), min(high + len(pattern) + most, int(at[t + 1]))
             if b - a < len(pattern) - most:
                 continue
-            region = codes[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+            region = raw[byte[a] : min(byte[b], offsets[t + 1])].tobytes().decode("utf-8", "replace")
+            region = _BLANKS.sub(" ", region).translate(_LOWER)[: b - a]
             same = region.find(pattern)
             distance, end = (0, same + len(pattern)) if same >= 0 else best_part(pattern, region)
             if distance <= most and (best is None or distance < best[0]):
@@ -305,8 +331,8 @@ def search(items: Items, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
             if best and not best[0]:
                 break
         if best:
-            blanks = np.flatnonzero(codes[at[t] : best[2]] == 32) + at[t]
-            first = int(np.searchsorted(blanks, best[1] + (codes[best[1]] == 32)))
+            blanks = np.flatnonzero(classes[at[t] : best[2]] == 32) + at[t]
+            first = int(np.searchsorted(blanks, best[1] + (classes[best[1]] == 32)))
             yield t, i, best[0], first, int(np.searchsorted(blanks, best[2] - 1)) + 1
 
 
@@ -316,7 +342,7 @@ def block_count(items: DataFrame, text: str, block_items: int) -> int:
     return max(1, -(-n // block_items), -(-(chars or 0) // (block_items * 1000)))
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, repeats: int = 3, steps: int = 30, sampled: int = 20, block_items: int = 4000, keep_row: bool = False) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, repeats: int = 3, steps: int = 30, sampled: int = 20, stride: int = 4, block_items: int = 4000, keep_row: bool = False) -> DataFrame:
     """doc_id, item_id, distance (characters), similarity, first_word, end_word of each document row and item that match."""
     spark = docs.sparkSession
     named = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
@@ -329,7 +355,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow() if blocks > 1 else named.toArrow()
         pairs = sorted(((r["item_id"], r["text"]) for r in rows.to_pylist()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
         item_type = rows.schema.field("item_id").type
-        shared = spark.sparkContext.broadcast(Items(pairs, 1 - similarity + 1e-9, repeats, steps, sampled))
+        shared = spark.sparkContext.broadcast(Items(pairs, 1 - similarity + 1e-9, repeats, steps, sampled, stride))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value  # noqa: B023
@@ -351,7 +377,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return out if keep_row else out.drop("_row")
 
 
-def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", similarity: float = 0.8, repeats: int = 3, steps: int = 30, sampled: int = 20, block_items: int = 4000) -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", similarity: float = 0.8, repeats: int = 3, steps: int = 30, sampled: int = 20, stride: int = 4, block_items: int = 4000) -> DataFrame:
     """The rows of docs that match no item, with all their columns; rows are judged where they are, without a join."""
     spark = docs.sparkSession
     named = items.select(F.col(item_text).alias("text")).where(F.col(item_text).isNotNull())
@@ -361,7 +387,7 @@ def cleaned(docs: DataFrame, items: DataFrame, text: str = "text", item_text: st
     out = docs
     for block in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow() if blocks > 1 else named.toArrow()
-        shared = spark.sparkContext.broadcast(Items([(None, t) for t in sorted(rows.column(0).to_pylist())], 1 - similarity + 1e-9, repeats, steps, sampled))
+        shared = spark.sparkContext.broadcast(Items([(None, t) for t in sorted(rows.column(0).to_pylist())], 1 - similarity + 1e-9, repeats, steps, sampled, stride))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value  # noqa: B023
