@@ -31,7 +31,7 @@ CLASSES, MEMBERS = 48, 48
 WORDS = CLASSES * MEMBERS
 HIDDEN = 24
 STREAMS, WINDOW, CHUNK = 512, 20, 4096
-PIECE = 1 << 24
+PIECE = 1 << 23
 FAN_IN = 64
 END_ID, OTHER_ID = 0, 1
 Weights = dict[str, np.ndarray]
@@ -121,28 +121,36 @@ def outputs(w: Weights, h: np.ndarray, y: np.ndarray, grad: Weights | None = Non
 
 def backward(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[Weights, np.ndarray, float]:
     """Truncated backpropagation through one window. x, y: windows x streams of ids; h: states before it; fresh: where a text starts."""
-    grad = {k: np.zeros(s, np.float32) for k, s in shapes().items()}
+    grad = {k: np.zeros(s, h.dtype) for k, s in shapes().items()}
     states, kept = [], []
     for t in range(len(x)):
-        h, saved = step(w, x[t], h * ~fresh[t][:, None])
+        if fresh[t].any():
+            h = np.where(fresh[t][:, None], np.zeros((), h.dtype), h)
+        h, saved = step(w, x[t], h)
         states.append(h)
         kept.append(saved)
     total, dy = outputs(w, np.concatenate(states), y.reshape(-1), grad)
     dy = dy.reshape(len(x), -1, HIDDEN)
-    dh = np.zeros_like(h)
-    da_all, dh_state = [], np.zeros((HIDDEN, 3 * HIDDEN), np.float32)
+    dh, dh_state = np.zeros_like(h), np.zeros((HIDDEN, 3 * HIDDEN), h.dtype)
+    da = np.empty((*x.shape, 3 * HIDDEN), h.dtype)
+    back = np.ascontiguousarray(w["state"].T)
     for t in range(len(x) - 1, -1, -1):
         _, before, z, r, v, n = kept[t]
-        dh = dh + dy[t]
-        dn = dh * z * (1 - n * n)
-        dz = dh * (n - before) * z * (1 - z)
-        dr = dn * v * r * (1 - r)
-        da_all.append(np.concatenate((dz, dr, dn), 1))
-        du = np.concatenate((dz, dr, dn * r), 1)
+        dh += dy[t]
+        dz, dr, dn = da[t, :, :HIDDEN], da[t, :, HIDDEN : 2 * HIDDEN], da[t, :, 2 * HIDDEN :]
+        rest = 1 - z
+        np.multiply(dh * z, 1 - n * n, out=dn)
+        np.multiply(dh * (n - before), z * rest, out=dz)
+        np.multiply(dn * v, r * (1 - r), out=dr)
+        du = da[t].copy()
+        du[:, 2 * HIDDEN :] *= r
         dh_state += before.T @ du
-        dh = (dh * (1 - z) + du @ w["state"].T) * ~fresh[t][:, None]
+        dh *= rest
+        dh += du @ back
+        if fresh[t].any():
+            dh[fresh[t]] = 0
     grad["state"] = dh_state
-    da = np.concatenate(da_all[::-1])
+    da = da.reshape(-1, 3 * HIDDEN)
     ids = x.reshape(-1)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
@@ -242,6 +250,13 @@ class Vocabulary:
         ids[words == END] = END_ID
         order = np.argsort(words)
         self.words, self.counts, self.ids = words[order], counts[order], ids[order]
+        # where the words with the same leading bits begin: a few steps from there, not a search of the whole table
+        bits = max(4, (8 * len(words)).bit_length())
+        self.shift = 64 - bits
+        of = (self.words >> self.shift) + (1 << (bits - 1))
+        sizes = np.bincount(of, minlength=1 << bits)
+        self.most = int(sizes.max(initial=0))
+        self.begin = np.minimum(np.cumsum(sizes) - sizes, max(0, len(words) - 1))
         self.total, self.kinds = total, kinds
         self.id_counts = np.bincount(self.ids, self.counts, WORDS)
         named = self.ids != OTHER_ID
@@ -255,7 +270,10 @@ class Vocabulary:
         """Place in the table and network id of each token; place -1 if it isn't there."""
         if not len(self.words):
             return np.full(len(tokens), -1), np.where(tokens == END, END_ID, OTHER_ID).astype(np.int32)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        at = self.begin[(tokens >> self.shift) + (len(self.begin) >> 1)]
+        for _ in range(self.most):  # words with the same leading bits lie side by side
+            at += self.words[at] < tokens
+            np.minimum(at, len(self.words) - 1, out=at)
         hit = self.words[at] == tokens
         return np.where(hit, at, -1), np.where(hit, self.ids[at], np.where(tokens == END, END_ID, OTHER_ID)).astype(np.int32)
 
