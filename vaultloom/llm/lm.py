@@ -29,7 +29,7 @@ from .langid import remainder
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
 CLASSES, MEMBERS = 48, 48
 WORDS = CLASSES * MEMBERS
-HIDDEN = 24
+HIDDEN = 16
 STREAMS, WINDOW, CHUNK = 512, 20, 4096
 PIECE = 1 << 23
 FAN_IN = 64
