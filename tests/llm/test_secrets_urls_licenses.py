@@ -99,6 +99,46 @@ def test_purity_rejects_bad_templates(spark):
     assert bad == {k for k, u in pages if "/spam/" in u}
 
 
+def verdicts(spark, pages, labels):
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), URL_RULES)
+    return {r["page_id"]: r["verdict"] for r in got.collect()}
+
+
+def test_a_rare_bad_directory_of_a_wide_host_is_found(spark):
+    """Thirty directories of equal size, one of them all bad: it isn't lost in the wildcard, nor are the others."""
+    pages = [(k, f"http://wide.info/{chr(97 + k % 30 // 26)}{chr(97 + k % 30 % 26)}/p{k}") for k in range(900)]
+    got = verdicts(spark, pages, [(k, int(k % 30 == 7)) for k in range(600)])
+    assert {k for k, v in got.items() if v == "block"} == {k for k in got if k % 30 == 7}
+    got = verdicts(spark, pages, [(k, int(k % 30 != 7)) for k in range(600)])
+    assert {k for k, v in got.items() if v == "allow"} == {k for k in got if k % 30 == 7}
+
+
+def test_templates_differ_at_any_depth(spark):
+    pages = [(k, "http://deep.info/a/b/c/d/e/f/g/h/" + ("x/i/j/k/spam" if k % 2 else "y/i/j/k/news") + f"/{k}") for k in range(120)]
+    got = verdicts(spark, pages, [(k, k % 2) for k in range(120)])
+    assert all((v == "block") == bool(k % 2) for k, v in got.items())
+
+
+def test_urls_like_sql(spark, tmp_path):
+    """Wide, deep and hot hosts against the SQL."""
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    pages = [(k, f"http://{r.choice(['a.info', 'a.info', 'b.info', 'c.net'])}/{r.choice('abcdefghijklmnopqrstuvwxyz')}{r.choice('ab')}/{r.choice(['', 'x', 'y/z', 'y/w/'])}{'/'.join(r.choice('pq') for _ in range(r.randrange(4)))}") for k in range(6000)]
+    bad = {f"{c}a" for c in "bdk"}
+    labels = [(k, int(u.split("/")[3] in bad or r.random() < 0.05)) for k, u in pages if k % 3]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "page_id long, bad int").write.parquet(f"{tmp_path}/marks.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = urls.judged(spark.read.parquet(f"{tmp_path}/pages.parquet"), spark.read.parquet(f"{tmp_path}/marks.parquet"), URL_RULES)
+    want = con.execute(urls.oracle(URL_RULES, f"select page_id, bad from '{tmp_path}/marks.parquet/*.parquet'", levels=10))
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(map(str, (x[n] for n in names))) for x in got.collect()) == sorted(tuple(map(str, x)) for x in want.fetchall())
+
+
 def test_licences(spark, odd, none):
     rows = [
         (1, "x y z " * 9 + "\nLicensed under the Apache License, Version 2.0.\nmore", "r/a/f1"), (2, "words only", "r/a/f2"), (3, "Released under the MIT License.", "r/LICENSE"), (4, "words only", "r/b/c/f3"),

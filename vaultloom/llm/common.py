@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
@@ -78,6 +79,24 @@ def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
         _delete(spark, _written.pop(0))
 
 
+HOT_KEYS, HOT_ROWS = 256, 2000
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], sizes: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small, no key's rows in one task: sizes (on, n) counts big's rows of each key.
+
+    The HOT_KEYS largest keys (a table of that many rows goes out with the tasks) are dealt by a hash of big's columns `by`
+    into parts of about HOT_ROWS rows, and small's rows of these keys are there once a part. A smaller key holds less than
+    1 / HOT_KEYS of all rows.
+    """
+    hot = sizes.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *on).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(*on, F.least(F.lit(4096), F.ceil(F.col("n") / HOT_ROWS)).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = big.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    right = small.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def one_thread() -> None:
     """Has numpy's OpenBLAS use one thread in this process: for small products, threads that wait double the CPU time."""
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):

@@ -31,7 +31,7 @@ CLASSES, MEMBERS = 48, 48
 WORDS = CLASSES * MEMBERS
 HIDDEN = 16
 STREAMS, WINDOW, CHUNK = 512, 20, 4096
-PIECE = 1 << 23
+PIECE = 5 << 20
 FAN_IN = 64
 END_ID, OTHER_ID = 0, 1
 Weights = dict[str, np.ndarray]
