@@ -48,6 +48,38 @@ def test_ownership(spark, none):
     assert secrets.found(none).count() == 0
 
 
+def test_owners_and_repositories(spark):
+    key = "Zk7" + "aB3dE5gH7" * 3
+    rows = [(k, f"{key} x", "o1", f"r{k}") for k in range(4)] + [(9, "none", "o1", "r9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    live = lambda df, **most: {r["doc_id"] for r in secrets.digest(secrets.found(df, repository="repo", owner="owner", **most)).where("n_owned = 1").collect()}
+    assert live(df, most_repositories=4) == {0, 1, 2, 3} and live(df, most_repositories=3) == set()
+    assert live(df.withColumn("owner", F.col("repo")), most_repositories=9, most_owners=3) == set()
+
+
+def test_many_secrets_in_one_text(spark):
+    """Positions and the redacted text of thousands of matches, in time that doesn't explode."""
+    import random
+    import time
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["é", "word"]) + " token=" + "%012x" % r.randrange(1 << 48) + r.choice([" ", "/"]) + "%032x" % r.randrange(1 << 128) for _ in range(n)) for n in (1, 127, 128, 129, 1000, 8000)]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    began = time.time()
+    rows = {x["doc_id"]: x for x in secrets.digest(secrets.found(df)).collect()}
+    clean = {x["doc_id"]: x["text"] for x in secrets.redacted(df).collect()}
+    assert time.time() - began < 60
+    for k, t in enumerate(texts):
+        spans = brute(t)
+        assert rows[k]["base_sha256"] == digest_of(spans)
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert clean[k] == out + t[at:]
+
+
 def test_redacted(spark, odd):
     rows = [(1, "é token=abcdefgh12 x " + "a1" * 20, "s", 9), (2, "clean", "s", 5), (2, "clean", "s", 5), (None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -97,6 +97,37 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], sizes: DataFram
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+CUT = 128
+
+
+def cuts(array: Column) -> Column:
+    """0, 1, ... for each CUT entries of an array."""
+    return F.filter(F.sequence(F.lit(0), F.floor(F.size(array) / CUT).cast("int")), lambda k: k * CUT < F.size(array))
+
+
+def running(values: Column, zero: int, op) -> Column:
+    """op over all entries before each one, and last over all of them (bigint). Cut in two levels, so that building it isn't quadratic."""
+    start = F.lit(zero).cast("bigint")
+
+    def along(part: Column, first: Column) -> Column:
+        state = F.struct(first.alias("now"), F.array().cast("array<bigint>").alias("seen"))
+        return F.aggregate(part, state, lambda a, x: F.struct(op(a["now"], x).alias("now"), F.concat(a["seen"], F.array(a["now"])).alias("seen")), lambda a: a["seen"])
+
+    parts = F.transform(cuts(values), lambda k: F.slice(values, k * CUT + 1, F.lit(CUT)))
+    parts = F.transform(parts, lambda p: F.struct(p.alias("p"), F.aggregate(p, start, op).alias("all")))
+
+    def levels(p: Column) -> Column:
+        firsts = along(F.transform(p, lambda x: x["all"]), start)
+        return F.concat(F.flatten(F.zip_with(p, firsts, lambda x, f: along(x["p"], f))), F.array(F.aggregate(p, start, lambda a, x: op(a, x["all"]))))
+
+    return let(parts, levels)
+
+
 def one_thread() -> None:
     """Has numpy's OpenBLAS use one thread in this process: for small products, threads that wait double the CPU time."""
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):

@@ -36,8 +36,13 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
 
 
+MOST_REPOSITORIES, MOST_OWNERS = 4, 2
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.found(table(spark, sf_dir, "documents")))
+    """A repository is a source's documents of one language; the source owns it."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.found(docs, repository=F.concat_ws("/", "source", "lang"), owner="source", most_repositories=MOST_REPOSITORIES, most_owners=MOST_OWNERS))
 
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -82,7 +87,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op5_licences": licenses.oracle("concat_ws('/', source, lang, doc_id::varchar)"),
-    "op6_secrets": secrets.oracle(),
+    "op6_secrets": secrets.oracle(MOST_REPOSITORIES, MOST_OWNERS),
     "op8_minhash": dedup.oracle(3, 85),
     "op9_urls": urls.oracle(
         URL_RULES,
