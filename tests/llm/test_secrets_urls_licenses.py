@@ -171,6 +171,46 @@ def test_urls_like_sql(spark, tmp_path):
     assert sorted(tuple(map(str, (x[n] for n in names))) for x in got.collect()) == sorted(tuple(map(str, x)) for x in want.fetchall())
 
 
+MIT_BODY = next(b for t, b in licenses.TEMPLATES if t == "MIT" and len(b) > 100)
+APACHE_BODY = next(b for t, b in licenses.TEMPLATES if t == "Apache-2.0" and len(b) > 100)
+
+
+def wrapped(text, width=70):
+    import textwrap
+
+    return textwrap.wrap(text, width)
+
+
+def test_headers_and_licence_files(spark):
+    """A wrapped header in code, a full licence text as a file's whole content, a line without any telling word."""
+    code = [f"value{k} = compute{k}(left{k}, right{k})" * (k % 7 > 0) for k in range(90)]
+    rows = [
+        (1, "\n".join(["#!/bin/sh", *("# " + x for x in wrapped(APACHE_BODY)), *code]), "p/a.py"),
+        (2, "\n".join(wrapped(MIT_BODY)), "q/notes.txt"), (3, "\n".join(code), "q/x/b.py"),
+        (4, "\n".join([*code, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", *code]), "r/c.py"),
+        (5, "\n".join(code), "r/d.py"), (6, " ".join(code), None), (7, None, "r/e.py"), (7, "All rights reserved.", "s/e.py"), (8, "quite a long line of other words and then all rights reserved at its end", "t/f"),
+    ]
+    got = [(r["doc_id"], r["licence"], r["origin"], r["licence_file"]) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, "Apache-2.0", "own", False), (2, "MIT", "own", True), (3, "MIT", "inherited", False), (4, "BSD-3-Clause", "own", False), (5, None, "none", False),
+        (6, None, "none", False), (7, None, "none", False), (7, "Proprietary", "own", True), (8, None, "none", False),
+    ], key=str)
+
+
+def test_licences_like_sql(spark, tmp_path, odd):
+    import duckdb
+
+    code = "x = 1\n\ny = the license\n"
+    rows = [(100 + k, t, "en", s, 1) for k, (t, s) in enumerate([(code + "\n".join(wrapped(MIT_BODY)) + "\n" + code * 3, "a"), ("\n".join(wrapped(APACHE_BODY, 40)), "a"), (code, "a/b"), (code, "b"), ("Released under the MIT License\nAll rights reserved\f\nx", "c"), ("\f\n\n", "c")])]
+    spark.createDataFrame(rows, odd.schema).unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    want = con.execute(licenses.oracle("concat_ws('/', source, lang, doc_id::varchar)"))
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(map(str, (x[n] for n in names))) for x in licenses.scanned(df).collect()) == sorted(tuple(map(str, x)) for x in want.fetchall())
+
+
 def test_licences(spark, odd, none):
     rows = [
         (1, "x y z " * 9 + "\nLicensed under the Apache License, Version 2.0.\nmore", "r/a/f1"), (2, "words only", "r/a/f2"), (3, "Released under the MIT License.", "r/LICENSE"), (4, "words only", "r/b/c/f3"),
