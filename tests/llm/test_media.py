@@ -43,6 +43,24 @@ def test_broken_files(spark, none):
     assert got[1]["error"] is None and got[1]["byte_size"] == 64
     assert got[2]["error"] and got[3]["error"] and got[None]["error"] and 4 not in got
     assert media.media_digest(media.media_column(none)).count() == 0
+    digests = {r["doc_id"]: r for r in media.media_digest(rows.selectExpr("doc_id", "0L as n_bytes", "media")).collect()}
+    assert digests[1]["payload_bytes"] == 64 and digests[4]["media_bytes"] is None and digests[4]["payload_sha256"] is None
+    assert digests[3]["media_bytes"] == 2 and digests[3]["media_sha256"] == hashlib.sha256(b"no").hexdigest() and digests[3]["feature"] is None
+
+
+def plain_feature(samples, packets, cues):
+    """The feature by loops over single bytes."""
+    import math
+
+    n = len(samples)
+    share = [samples.count(bytes([k])) / n for k in range(256)]
+    peaks = [max(samples[a : a + 64]) for a in range(0, n, 64)]
+    clusters = {p[5] for p in packets}
+    figures = {
+        "mean": sum(samples) / n, "entropy": -sum(x * math.log2(x) for x in share if x),
+        "slope": sum(abs(a - b) for a, b in zip(samples, samples[1:])) / (n - 1), "peak": sum(peaks) / len(peaks),
+    }
+    return f"packets={len(packets)};clusters={len(clusters)};cues={sum(c[2] in clusters for c in cues)}/{len(cues)};ms={n * 1000 // 8000};" + ";".join(f"{k}={v:.4f}" for k, v in figures.items())
 
 
 def test_digest_of_odd_rows(odd):
@@ -65,4 +83,7 @@ def test_op10(spark, sf):
         raw = text[r["doc_id"]].encode()
         assert r["payload_sha256"] == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
         same = (r["media_bytes"], r["media_sha256"], r["feature"])
+        payload = raw + bytes(-len(raw) % 64)
+        file = media.mux(payload, "fixed")
+        assert same == (len(file), hashlib.sha256(file).hexdigest(), plain_feature(payload, *media.parse(file)))
         assert seen.setdefault(raw, same) == same

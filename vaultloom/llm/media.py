@@ -5,8 +5,8 @@ elements (variable-length ids and sizes, unknown sizes too), clusters, block gro
 into a packet table: track, timestamp in ns, byte offset and size, key flag, cluster and lace number.
 
 Defined results: null text is empty and null media gives null; equal texts give equal rows; ids may repeat or be null;
-other columns are ignored; a file that breaks off or is no Matroska raises ValueError in parse() and gives an error text
-with no packets in packet_table().
+other columns are ignored; a file that breaks off or is no Matroska raises ValueError in parse(), gives an error text with no
+packets in packet_table(), and in media_digest() its own length and digest with nulls for what would be read from it.
 """
 
 from __future__ import annotations
@@ -256,9 +256,10 @@ def feature(samples: bytes, packets: list[tuple], cues: list[tuple]) -> str:
     counts = np.bincount(x, minlength=256)
     share = counts[counts > 0] / max(1, len(x))
     peaks = x.reshape(-1, UNIT).max(1) if len(x) % UNIT == 0 and len(x) else x
-    hits = sum(c[2] in {p[5] for p in packets} for c in cues)
+    clusters = {p[5] for p in packets}
+    hits = sum(c[2] in clusters for c in cues)
     figures = (int(x.sum(dtype=np.int64)) / max(1, len(x)), float(-(share * np.log2(share)).sum()), float(np.abs(np.diff(x.astype(np.int16))).mean()) if len(x) > 1 else 0.0, float(peaks.mean()) if len(peaks) else 0.0)
-    return f"packets={len(packets)};clusters={len({p[5] for p in packets})};cues={hits}/{len(cues)};ms={len(x) * 1000 // RATE};" + ";".join(f"{k}={v:.4f}" for k, v in zip(("mean", "entropy", "slope", "peak"), figures))
+    return f"packets={len(packets)};clusters={len(clusters)};cues={hits}/{len(cues)};ms={len(x) * 1000 // RATE};" + ";".join(f"{k}={v:.4f}" for k, v in zip(("mean", "entropy", "slope", "peak"), figures))
 
 
 # ---------------------------------------------------------------- columns
@@ -316,8 +317,14 @@ def media_digest(df: DataFrame) -> DataFrame:
         for b in pieces(batches, "media"):
             rows = []
             for data in b.column(2).to_pylist():
-                packets, cues = parse(data)
-                samples = read_samples(data, packets)
+                try:
+                    packets, cues = parse(data) if data is not None else ([], [])
+                    samples = read_samples(data, packets) if data is not None else None
+                except (ValueError, IndexError, struct.error):
+                    samples = None
+                if samples is None:
+                    rows.append((None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None))
+                    continue
                 rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, packets, cues)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names)
