@@ -11,6 +11,7 @@ so passages that many documents share don't make long lists. The steps after tha
    on full sets, between components only; parity bits of the sets drop pairs that differ in too many elements within the
    join, without loss, and the pairs left are compared on full sets.
 
+Joins by a value, a shingle or a centre that very many classes share deal those classes over several tasks.
 A dense group of n near copies so costs about n comparisons instead of n squared, and no link between different texts is
 lost but by chance: with k = 64 and overlap 36, two texts at the threshold of 0.85 miss each other with a probability
 below 1e-7 (sets of at most k shingles are sketched whole).
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, pieces, scratch, shingle_hashes, word_hashes
+from .common import buffers, discard, pieces, scratch, shingle_hashes, spread_join, word_hashes
 from .graph import components
 
 PARITIES = 16
@@ -84,21 +85,23 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b), read twice, whose full sets have 100 * intersection >= percent * union; the pairs of a centre b are dealt out."""
     left, right = sets.select(F.col("c").alias("a"), F.col("shingles").alias("_x")), sets.select(F.col("c").alias("b"), F.col("shingles").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+    met = spread_join(pairs.join(left, "a"), right, ["b"], pairs.groupBy("b").agg(F.count("*").alias("n")), ["a"])
+    return met.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
 def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int, k: int, overlap: int) -> DataFrame:
     """(node, label) of the classes that are linked. reps: c, n, sketch; texts: _row, _text."""
     each = reps.select("c", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    often = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    often = scratch(each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "near-often")
     # a set of at most k values is sketched whole; its partner may have lost what goes beyond k
     least = F.expr(f"case when n > {k} then {overlap} else greatest(1, ({percent} * n + 99) div 100 - greatest(0, 100 * n div {percent} - {k})) end")
-    ranked = each.join(often, "v").selectExpr("c", "n", "k", "v", "row_number() over (partition by c order by f, v) as rank", "count(*) over (partition by c) as r")
+    ranked = spread_join(each, often, ["v"], often.select("v", F.col("f").alias("n")), ["c"]).selectExpr("c", "n", "k", "v", "row_number() over (partition by c order by f, v) as rank", "count(*) over (partition by c) as r")
     listed = ranked.where(F.col("rank") <= F.col("k") - least + 1 - (F.col("k") - F.col("r"))).select("v", "c", "n", "r")
     listed = scratch(listed, "near-lists")
+    discard(often)
     shift = 1 << 52
     centre = listed.groupBy("v").agg(F.count("*").alias("m"), F.max(F.col("r") * shift + (shift - 1 - F.col("c"))).alias("code")).where("m > 1")
     centre = centre.select("v", (F.lit(shift - 1) - F.col("code") % shift).alias("p"))
@@ -108,13 +111,14 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     sizes = reps.select(F.col("c").alias("p"), F.col("n").alias("pn"))
     fits = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")).alias("fits")
     met = inside.where("c <> p").select("c", "n", "p").distinct().join(sizes, "p").where(fits)
-    met = met.select(F.col("c").alias("a"), F.col("p").alias("b"))
-    for name, to in (("a", "_s"), ("b", "_t")):
-        met = met.join(reps.select(F.col("c").alias(name), F.col("sketch").alias(to)), name)
+    met = scratch(met.select(F.col("c").alias("a"), F.col("p").alias("b")), "near-met")
+    of = met.groupBy("b").agg(F.count("*").alias("n"))
+    met = spread_join(met.join(reps.select(F.col("c").alias("a"), F.col("sketch").alias("_s")), "a"), reps.select(F.col("c").alias("b"), F.col("sketch").alias("_t")), ["b"], of, ["a"])
     # estimate: the share of the union's k smallest values that both have
     union = F.slice(F.sort_array(F.array_union("_s", "_t")), 1, k)
     near = F.size(F.array_intersect(F.array_intersect("_s", "_t"), union)) * k >= overlap * F.size(union)
-    links = scratch(linked(met.where(near).select("a", "b"), sets, percent), "near-links")
+    near = scratch(met.where(near).select("a", "b"), "near-pairs")
+    links = scratch(linked(near, sets, percent), "near-links")
     labels = components(links)
 
     # the rest: lists whose classes are still in several components, searched on full sets
@@ -128,9 +132,10 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     early = ranked.where(F.col("rank") <= probe).select("s", "c", "n", "label", "rank")
     exact = scratch(early.join(sets.select("c", "parity"), "c"), "near-prefix")
     by_label = exact.groupBy("s", "label").agg(F.count("*").alias("m"))
-    main = by_label.groupBy("s").agg(F.count("*").alias("labels"), F.expr("max_by(label, m)").alias("main")).where("labels > 1").select("s", "main")
-    few = exact.join(main, "s").where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "rank as ar", "parity as ap")
-    crossing = few.join(exact.selectExpr("s", "c as b", "n as bn", "label as bl", "rank as br", "parity as bp"), "s")
+    main = scratch(by_label.groupBy("s").agg(F.count("*").alias("labels"), F.expr("max_by(label, m)").alias("main"), F.sum("m").alias("n")).where("labels > 1").select("s", "main", "n"), "near-main")
+    of = main.select("s", "n")
+    few = spread_join(exact, main.drop("n"), ["s"], of, ["c"]).where("label <> main").selectExpr("s", "c as a", "n as an", "label as al", "rank as ar", "parity as ap")
+    crossing = spread_join(exact.selectExpr("s", "c as b", "n as bn", "label as bl", "rank as br", "parity as bp"), few, ["s"], of, ["b"])
     # the least overlap of such a pair; both must hold the value so early that this many are left from there on
     least = F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - 1")
     # parities show pairs that differ in too many elements, so that they are dropped within the join
@@ -138,10 +143,11 @@ def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int,
     crossing = crossing.where(differ <= F.col("an") + F.col("bn") - 2 * (least + 1))
     crossing = crossing.where((F.col("al") != F.col("bl")) & (F.col("an") - F.col("ar") >= least) & (F.col("bn") - F.col("br") >= least))
     pairs = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = scratch(pairs, "near-crossing")
     more = scratch(linked(pairs, sets, percent), "near-more")
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     out = components(stars.union(more))
-    discard(listed, sets, links, rest, exact, more)
+    discard(listed, sets, near, links, rest, exact, main, pairs, more)
     return out
 
 
