@@ -5,9 +5,9 @@ whole text (a licence file). A unit is the sparse TF-IDF vector of its distinct
 every template by cosine. Document frequencies of the templates' words cover all texts; words that no template has weigh as
 unseen words. No unit can reach `least` unless the templates' words are at least least squared of its distinct words, as words
 that no template has weigh most; what falls short is dropped while the text is read, without loss. Everything is read in one
-pass, into a scratch table of units. A text declares the template of its best unit at or above `least`. A text that matches as
-a whole, or mostly consists of matching units, or is named LICENSE or COPYING, is a licence file; the template most of a
-directory's licence files declare is the directory's. Texts that declare nothing inherit from the nearest ancestor directory
+pass, into a scratch table of units. A text declares the template of its best unit at or above `least`. A text that mostly
+consists of matching lines, or of one matching run, or declares one and is named LICENSE or COPYING, is a licence file; the
+template most of a directory's licence files declare is the directory's. Texts that declare nothing inherit from the nearest ancestor directory
 that has one: distinct directories are joined with their ancestors, texts by directory, hot directories dealt over many tasks.
 
 Defined results: null text is empty and null path is the root directory; ids may repeat or be null (a row each); ties go to
@@ -74,46 +74,51 @@ LINE, RUN, WHOLE = 0, 1, 2
 
 
 def words(text: Column) -> Column:
-    """Distinct words of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def units(text: Column, vocabulary: list[str], least: float) -> Column:
-    """own: the text's words that templates have; n_words: its distinct words; units: (kind, at, n, known) of what may reach `least`."""
+    """own: the text's words that templates have; n_words: all its words; units: (kind, at, n distinct words, m words, known ones) of what may reach `least`."""
     empty = F.array().cast("array<string>")
     every = F.array(*(F.lit(w) for w in vocabulary)) if vocabulary else empty
     bar = least * least
     likely = lambda n, known: (n > 0) & (F.size(known) >= bar * n)
-    lines = F.transform(F.split(text, "\n", -1), lambda t: F.struct(t.alias("t"), words(t).alias("w")))
+    def counted(rows: Column) -> Column:
+        """rows (kind, at, t) with m and w, the words of t and the distinct ones."""
+        said = F.transform(rows, lambda x: F.struct(x["kind"].alias("kind"), x["at"].alias("at"), x["t"].alias("t"), words(x["t"]).alias("w")))
+        return F.transform(said, lambda x: F.struct(x["kind"], x["at"], x["t"], F.size(x["w"]).alias("m"), F.array_distinct(x["w"]).alias("w")))
+
+    lines = counted(F.transform(F.split(text, "\n", -1), lambda t, k: F.struct(F.lit(LINE).alias("kind"), k.alias("at"), t.alias("t"))))
 
     def met(z: Column) -> Column:
-        return let(F.array_distinct(F.flatten(F.transform(z, lambda x: x["w"]))), lambda all_words: F.struct(z.alias("lines"), F.size(all_words).alias("n"), F.array_intersect(every, all_words).alias("own")))
+        total = F.aggregate(z, F.lit(0), lambda a, x: a + x["m"])
+        return let(F.array_distinct(F.flatten(F.transform(z, lambda x: x["w"]))), lambda all_words: F.struct(z.alias("lines"), F.size(all_words).alias("n"), total.alias("m"), F.array_intersect(every, all_words).alias("own")))
 
     def cut(y: Column) -> Column:
-        rows = F.transform(y["lines"], lambda x: F.struct(x["t"].alias("t"), F.size(x["w"]).alias("n"), F.array_intersect(x["w"], y["own"]).alias("known")))
-        rows = F.transform(rows, lambda x, k: F.struct(F.lit(LINE).alias("kind"), k.alias("at"), x["n"].alias("n"), x["known"].alias("known"), (likely(x["n"], x["known"]) | (x["n"] == 0)).alias("stays"), x["t"].alias("t")))
+        unit = lambda x: F.struct(x["kind"], x["at"], F.size(x["w"]).alias("n"), x["m"], F.array_intersect(x["w"], y["own"]).alias("known"))
+        rows = F.transform(y["lines"], lambda x: F.struct(unit(x).alias("u"), x["t"].alias("t")))
+        rows = F.transform(rows, lambda x: F.struct(x["u"].alias("u"), x["t"].alias("t"), (likely(x["u"]["n"], x["u"]["known"]) | (x["u"]["n"] == 0)).alias("stays")))
 
         def kept(r: Column) -> Column:
-            single = F.transform(F.filter(r, lambda x: x["stays"] & (x["n"] > 0)), lambda x: F.struct(x["kind"], x["at"], x["n"], x["known"]))
+            single = F.transform(F.filter(r, lambda x: x["stays"] & (x["u"]["n"] > 0)), lambda x: x["u"])
             # the lines that can't be licence text part the others into runs
             parted = F.split(F.array_join(F.transform(r, lambda x: F.when(x["stays"], F.translate(x["t"], "\f", " ")).otherwise("\f")), "\n"), "[\n\f]*\f[\n\f]*", -1)
             runs = F.transform(parted, lambda t, k: F.struct(F.lit(RUN).alias("kind"), k.alias("at"), t.alias("t")))
             runs = F.filter(runs, lambda x: F.instr(F.regexp_replace(x["t"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""), "\n") > 0)
-            runs = F.transform(runs, lambda x: F.struct(x["kind"].alias("kind"), x["at"].alias("at"), words(x["t"]).alias("w")))
-            runs = F.transform(runs, lambda x: F.struct(x["kind"], x["at"], F.size(x["w"]).alias("n"), F.array_intersect(x["w"], y["own"]).alias("known")))
-            whole = F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).alias("at"), y["n"].alias("n"), y["own"].alias("known")))
+            runs = F.transform(counted(runs), unit)
+            whole = F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).alias("at"), y["n"].alias("n"), y["m"].alias("m"), y["own"].alias("known")))
             return F.concat(single, F.filter(F.concat(runs, whole), lambda x: likely(x["n"], x["known"])))
 
-        return F.struct(y["own"].alias("own"), y["n"].alias("n_words"), let(rows, kept).alias("units"))
+        return F.struct(y["own"].alias("own"), y["m"].alias("n_words"), let(rows, kept).alias("units"))
 
     return let(let(lines, met), cut)
 
 
 def declared(rows: DataFrame, templates: list[tuple[str, str]], vocabulary: list[str], least: float) -> DataFrame:
-    """_row, kind, at, n, template, cosine: the best template of each unit that reaches `least`. rows: _row, own, units."""
+    """_row, kind, at, n, m, template, cosine: the best template of each unit that reaches `least`. rows: _row, own, units."""
     spark = rows.sparkSession
     listed = spark.createDataFrame([(k, name, body) for k, (name, body) in enumerate(templates)], "k int, template string, body string")
-    each = listed.select("k", "template", F.explode(words(F.col("body"))).alias("word"))
+    each = listed.select("k", "template", F.explode(F.array_distinct(words(F.col("body")))).alias("word"))
     seen = {r["word"]: r["n"] for r in rows.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
     total = rows.count()
     idf = spark.createDataFrame([(w, seen.get(w, 0)) for w in vocabulary], "word string, df long").select("word", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -121,8 +126,8 @@ def declared(rows: DataFrame, templates: list[tuple[str, str]], vocabulary: list
     known = each.join(F.broadcast(idf), "word")
     norms = known.groupBy("k").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("length"))
     known = known.join(F.broadcast(norms), "k").select("k", "template", "word", (F.col("idf") / F.col("length")).alias("weight"))
-    said = rows.select("_row", F.explode("units").alias("u")).select("_row", "u.kind", "u.at", "u.n", F.size("u.known").alias("in"), F.explode("u.known").alias("word")).join(F.broadcast(idf), "word")
-    key = ["_row", "kind", "at", "n"]
+    said = rows.select("_row", F.explode("units").alias("u")).select("_row", "u.kind", "u.at", "u.n", "u.m", F.size("u.known").alias("in"), F.explode("u.known").alias("word")).join(F.broadcast(idf), "word")
+    key = ["_row", "kind", "at", "n", "m"]
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")) + (F.col("n") - F.first("in")) * unseen * unseen)
     units = said.groupBy(*key).agg(norm.alias("norm"))
     dots = said.join(F.broadcast(known), "word").groupBy(*key, "k", "template").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"))
@@ -147,9 +152,9 @@ def scanned(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     met = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.monotonically_increasing_id().alias("_row"), units(F.coalesce(F.col(text), F.lit("")), vocabulary, least).alias("u"))
     rows = scratch(met.select("doc_id", "path", "_row", "u.own", "u.n_words", "u.units"), "licence-units")
     good = declared(rows.select("_row", "own", "units"), templates, vocabulary, least)
-    of = lambda kind, how: F.coalesce(how(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    of = lambda kind, how: F.coalesce(how(F.when(F.col("kind") == kind, F.col("m"))), F.lit(0))
     own = good.groupBy("_row").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), "kind", "at", "template")).alias("b"), F.count_if(F.col("kind") == LINE).alias("n_lines"), F.greatest(of(LINE, F.sum), of(RUN, F.max), of(WHOLE, F.max)).alias("said")
+        F.min(F.struct((-F.col("cosine")).alias("c"), "kind", "at", "template")).alias("b"), F.count_if(F.col("kind") == LINE).alias("n_lines"), F.greatest(of(LINE, F.sum), of(RUN, F.max)).alias("said")
     ).select("_row", F.col("b.template").alias("own"), (-F.col("b.c")).alias("cosine"), "n_lines", "said")
     directory = F.regexp_replace("path", "/?[^/]*$", "").alias("directory")
     named = F.regexp_extract("path", "[^/]*$", 0).rlike("^(?i:licen[cs]e|copying)")
@@ -173,29 +178,29 @@ def oracle(path: str, least: float = 0.6, mostly: float = 0.5) -> str:
     """The same over `documents`, with `path` as an SQL expression."""
     rows = ", ".join(f"({k}, '{t}', '{b}')" for k, (t, b) in enumerate(TEMPLATES))
     low = f"translate({{}}, '{UPPER}', '{LOWER}')"
-    tokens = lambda x: f"list_distinct(regexp_extract_all({low.format(x)}, '[a-z0-9]+'))"
+    tokens = lambda x: f"regexp_extract_all({low.format(x)}, '[a-z0-9]+')"
     likely = f"n > 0 and k >= {least * least} * n"
     return f"""with d as (select row_number() over () as r, doc_id, coalesce({path}, '') as path, coalesce(text, '') as t from documents),
-    tf as (select k as tmpl, template, unnest({tokens('body')}) as word from (values {rows}) v(k, template, body)),
+    tf as (select k as tmpl, template, unnest(list_distinct({tokens('body')})) as word from (values {rows}) v(k, template, body)),
     vocab as (select list(distinct word) as v from tf),
     line as (select r, said, i, {tokens('said')} as w from (select r, unnest(string_split(t, chr(10))) as said, unnest(range(len(string_split(t, chr(10))))) as i from d)),
-    lined as (select r, said, i, w, len(w) as n, len(list_intersect(w, v)) as k from line, vocab),
+    lined as (select r, said, i, len(w) as m, list_distinct(w) as w, len(list_distinct(w)) as n, len(list_intersect(w, v)) as k from line, vocab),
     stays as (select *, ({likely}) or n = 0 as stays from lined),
     parted as (select r, string_split_regex(string_agg(case when stays then translate(said, chr(12), ' ') else chr(12) end, chr(10) order by i), '[\\n\\x0C]*\\x0C[\\n\\x0C]*') as p from stays group by r),
     run as (select r, i, {tokens('said')} as w from (select r, unnest(p) as said, unnest(range(len(p))) as i from parted) where contains(regexp_replace(said, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), chr(10))),
-    unit as (select r, 0 as kind, i, w, n, k from stays where n > 0 union all select r, 1, i, w, len(w), len(list_intersect(w, v)) from run, vocab
-      union all select r, 2, 0, w, len(w), len(list_intersect(w, v)) from (select r, {tokens('t')} as w from d), vocab),
+    unit as (select r, 0 as kind, i, w, n, m, k from stays where n > 0 union all select r, 1, i, list_distinct(w), len(list_distinct(w)), len(w), len(list_intersect(w, v)) from run, vocab
+      union all select r, 2, 0, list_distinct(w), len(list_distinct(w)), len(w), len(list_intersect(w, v)) from (select r, {tokens('t')} as w from d), vocab),
     chosen as (select * from unit where {likely}),
-    seen as (select word, count(*) as df from (select r, unnest({tokens('t')}) as word from d) where word in (select word from tf) group by 1),
+    seen as (select word, count(*) as df from (select r, unnest(list_distinct({tokens('t')})) as word from d) where word in (select word from tf) group by 1),
     idf as (select word, ln((1 + (select count(*) from d))::double / (1 + coalesce(df, 0))) + 1 as idf from (select distinct word from tf) left join seen using (word)),
     known as (select tmpl, template, word, idf / sqrt(sum(idf * idf) over (partition by tmpl)) as weight from tf join idf using (word)),
-    said as (select r, kind, i, n, k, word, idf from (select r, kind, i, n, k, unnest(w) as word from chosen) join idf using (word)),
-    norm as (select r, kind, i, n, sqrt(sum(idf * idf) + (n - k) * pow(ln((1 + (select count(*) from d))::double) + 1, 2)) as norm from said group by r, kind, i, n, k),
+    said as (select r, kind, i, n, m, k, word, idf from (select r, kind, i, n, m, k, unnest(w) as word from chosen) join idf using (word)),
+    norm as (select r, kind, i, n, m, sqrt(sum(idf * idf) + (n - k) * pow(ln((1 + (select count(*) from d))::double) + 1, 2)) as norm from said group by r, kind, i, n, m, k),
     dots as (select r, kind, i, tmpl, template, sum(idf * weight) as dot from said join known using (word) group by all),
-    cos as (select r, kind, i, n, template, round(dot / norm, 6) as cosine from dots join norm using (r, kind, i)),
+    cos as (select r, kind, i, m, template, round(dot / norm, 6) as cosine from dots join norm using (r, kind, i)),
     good as (select * from cos where cosine >= {least} qualify row_number() over (partition by r, kind, i order by cosine desc, template) = 1),
     own as (select r, arg_min(template, (-cosine, kind, i, template)) as own, max(cosine) as cosine, count(*) filter (kind = 0) as n_lines,
-      greatest(coalesce(sum(n) filter (kind = 0), 0), coalesce(max(n) filter (kind = 1), 0), coalesce(max(n) filter (kind = 2), 0)) as said from good group by 1),
+      greatest(coalesce(sum(m) filter (kind = 0), 0), coalesce(max(m) filter (kind = 1), 0)) as said from good group by 1),
     light as (select d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') as directory, own, cosine, n_lines,
       own is not null and (regexp_matches(regexp_extract(d.path, '[^/]*$'), '^(?i:licen[cs]e|copying)') or said >= {mostly} * len({tokens('t')})) as licence_file from d left join own using (r)),
     "of" as (select directory as above, own as template from (select directory, own, count(*) as n from light where licence_file group by 1, 2) qualify row_number() over (partition by directory order by n desc, own) = 1),
