@@ -52,3 +52,56 @@ def test_elastic_net_gives_zeros(spark):
     w = langid.follow_the_leader(rows, 8, 2)
     assert (w[3:] == 0).all() and w[1:3].any()
     assert not langid.follow_the_leader(rows, 8, 2, l1=1e6).any()
+
+
+def slow_grams(text, buckets):
+    """gram_counts with loops over single characters and numbers of Python."""
+    text = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not text.strip():
+        return None
+    if text[0] == " ":
+        text = text[1:] if text[1:2] == " " else text
+    kept = [c for k, c in enumerate(text) if c != " " or (k and text[k - 1] != " ")]
+    codes, m, counts = [32, *(ord(c) for c in kept), 32], (1 << 32) - 1, {}
+    shift = 32 - (buckets.bit_length() - 1)
+    a = [c * 0x9E3779B1 & m for c in codes]
+    two = [((x ^ 0x5BD1E995) * 0x85EBCA6B + y) & m for x, y in zip(a, a[1:])]
+    three = [((x ^ 0x27D4EB2F) * 0xC2B2AE35 + y) & m for x, y in zip(two, a[2:])]
+    for values, factor in ((a, 0x165667B1), (two, 0x27220A95), (three, 0x9E3779B1)):
+        for v in values:
+            k = (v * factor & m) >> shift
+            counts[k] = counts.get(k, 0) + 1
+    return counts
+
+
+def test_like_brute_force(spark, sf, odd):
+    """Document frequencies and every prediction, computed with dictionaries and loops."""
+    import math
+    import zlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.where("length(text) < 10000 or text is null").select("doc_id", "text", "lang"))
+    model = langid.trained(docs)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    buckets, seen, n = len(model.idf), {}, 0
+    for d, t, lang in rows:
+        grams = slow_grams(t, buckets) if t and lang and zlib.crc32(str(d).encode() if d is not None else b"") % 5 else None
+        if grams:
+            n += 1
+            for k in grams:
+                seen[k] = seen.get(k, 0) + 1
+    assert all(abs(model.idf[k] - (math.log((1 + n) / (1 + seen.get(k, 0))) + 1)) < 1e-4 for k in range(buckets))
+    got = {}
+    for r in langid.identified(docs, model, keep=("doc_id", "text")).collect():
+        got.setdefault((r["doc_id"], r["text"]), []).append((r["lang_pred"], r["score"]))
+    for d, t, _ in rows:
+        grams = slow_grams(t, buckets) if t else None
+        if not grams:
+            want = ("und", 0.0)
+        else:
+            x = {k: math.log1p(c) * float(model.idf[k]) for k, c in grams.items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            z = [sum(v / norm * float(model.weights[k, j]) for k, v in x.items()) / model.temperature for j in range(len(model.languages))]
+            e = [math.exp(v - max(z)) for v in z]
+            want = (model.languages[z.index(max(z))], max(e) / sum(e))
+        for lang, score in got[d, t]:
+            assert abs(score - want[1]) < 1e-3 and (lang == want[0] or abs(want[1] - 1 / 2) < 1e-2)
