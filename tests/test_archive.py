@@ -159,11 +159,134 @@ def test_generations(spark, tmp_path):
     assert c.read("meta").count() == 3 and c.verify() == [] and sum(n.startswith("gen=") for n in os.listdir(tmp_path)) == 2
     c.roll_back()
     assert c.read("meta").count() == 2
-    place = os.path.join(tmp_path, c.current()["tables"]["meta"])
+    place = os.path.join(tmp_path, c.current()["tables"]["meta"][0])
     os.remove(os.path.join(place, next(n for n in os.listdir(place) if n.endswith(".parquet"))))
     assert len(c.verify()) == 1
 
 
+def part_files(a, tables=("parity_shard", "block_hash", "stripe_digest")):
+    return {f"{place}/{n}" for t in tables for place in a.catalogue.current()["tables"].get(t, []) for n in a.catalogue.current()["parts"][place]}
+
+
+def test_scans_only_add_to_sets_and_log(made):
+    a, content = made
+    for k in range(8):  # the set is no longer underfull
+        write(a.root, f"data/h{k}", bytes([k]) * 1000)
+    a.scan()
+    before, log = part_files(a), part_files(a, ["event"])
+    times = {p: os.stat(os.path.join(a.state, p)).st_mtime_ns for p in before}
+    a.scan()
+    assert part_files(a) == before and part_files(a, ["event"]) == log
+    write(a.root, "data/new", b"fresh" * 3000)
+    first = a.scan()
+    assert before < part_files(a) and log < part_files(a, ["event"])
+    assert all(os.stat(os.path.join(a.state, p)).st_mtime_ns == t for p, t in times.items())
+    seqs = [r["seq"] for r in a.history().collect()]
+    assert len(set(seqs)) == len(seqs) == len(content) - 2 + 9 and a.history(limit=1).first()["path"] == "data/new"
+    assert a.table("meta").where("key = 'saved_at'").count() == 1
+    with open(next(os.path.join(a.state, "MANIFEST.txt", n) for n in os.listdir(os.path.join(a.state, "MANIFEST.txt")) if n.startswith("part-"))) as f:
+        assert sum(1 for _ in f) == a.ls().count()
+    # an earlier result outlives later commands
+    flip(a.root, "data/f03", 5)
+    told = a.check(repair=True)
+    assert outcomes(told, "new_state") == {"data/f03": "corrupt"} and "data/new" in outcomes(first) and outcomes(a.check(), "new_state") == {}
+
+
+def spoil(a, table, at=-200):
+    place = a.catalogue.current()["tables"][table][0]
+    name = max(a.catalogue.current()["parts"][place], key=lambda n: a.catalogue.current()["parts"][place][n][0])
+    full = os.path.join(a.state, place, name)
+    crc = os.path.join(a.state, place, f".{name}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(full, "r+b") as f:
+        f.seek(at, os.SEEK_END)
+        b = f.read(1)
+        f.seek(at, os.SEEK_END)
+        f.write(bytes([b[0] ^ 255]))
+
+
+def test_a_flipped_byte_in_the_state_is_found(made):
+    a, _ = made
+    assert a.catalogue.verify() == []
+    for table in ("file", "parity_member", "parity_shard", "block_hash"):
+        old = {p: open(os.path.join(a.state, p), "rb").read() for p in part_files(a, [table])}
+        spoil(a, table)
+        assert any(x.startswith(table) for x in a.catalogue.verify(deep=table in ("parity_shard", "block_hash")))
+        for p, data in old.items():
+            with open(os.path.join(a.state, p), "wb") as f:
+                f.write(data)
+    assert a.catalogue.verify() == []
+
+
+def test_damaged_tables_and_shards(made):
+    """Another digest in the block table, another byte in a shard: found by fsck, and neither misleads check or repair."""
+    from pyspark.sql import functions as F
+
+    a, content = made
+    good = {t: a.catalogue.stored(t).collect() for t in ("block_hash", "parity_shard")}
+    remake = lambda t, rows: a.spark.createDataFrame(rows, a.catalogue.stored(t).schema)
+    part = a.table("parity_set").first()["part"]
+    torn = remake("block_hash", good["block_hash"]).withColumn("hash", F.when(F.col("g") == 3, "00").otherwise(F.col("hash")))
+    a.catalogue.commit(part=part + "x", block_hash=torn, parity_set=a.table("parity_set"))
+    place = a.catalogue.current()
+    assert place["tables"]["block_hash"] == []  # a part that no set names is left out
+    now = a.catalogue.fresh()
+    sets_ = a.table("parity_set").withColumn("part", F.lit(now))
+    a.catalogue.commit(part=now, parity_set=a._kept(sets_), block_hash=a._kept(torn.withColumn("part", F.lit(now))), parity_shard=remake("parity_shard", good["parity_shard"]).withColumn("part", F.lit(now)), stripe_digest=a._kept(a.catalogue.stored("stripe_digest").withColumn("part", F.lit(now))))
+    assert {"block table damaged"} <= {r["finding"] for r in a.fsck(deep=True).collect()}
+    assert outcomes(a.check(), "new_state") == {}
+    flip(a.root, "data/f03", 5)
+    assert outcomes(a.check(), "new_state") == {"data/f03": "unrecoverable"}
+    now = a.catalogue.fresh()
+    shards = remake("parity_shard", good["parity_shard"]).withColumn("bytes", F.when(F.col("idx") == 0, F.lit(b"\0" * 64)).otherwise(F.col("bytes")))
+    a.catalogue.commit(part=now, parity_set=a._kept(a.table("parity_set").withColumn("part", F.lit(now))), block_hash=remake("block_hash", good["block_hash"]).withColumn("part", F.lit(now)), parity_shard=a._kept(shards.withColumn("part", F.lit(now))), stripe_digest=a._kept(a.catalogue.stored("stripe_digest").withColumn("part", F.lit(now))))
+    assert {"shards damaged"} <= {r["finding"] for r in a.fsck(deep=True).collect()}
+    assert outcomes(a.repair()) == {"data/f03": "failed"}
+
+
+def test_trusted_lists_keep_their_digests(made, tmp_path_factory):
+    a, content = made
+    write(a.root, "late/one", b"one")
+    write(a.root, "late/two", b"two")
+    out = tmp_path_factory.mktemp("list") / "sums"
+    out.write_text("0" * 64 + "  late/one\n" + "0" * 64 + "  data/f01\n" + "0" * 64 + "  late/none\n")
+    assert outcomes(a.import_list(str(out), trust=True)) == {"late/one": "trusted", "data/f01": "mismatch", "late/none": "not found"}
+    assert a.table("file").where("path = 'late/one'").first()["content_hash"] == "0" * 64
+    assert outcomes(a.check(["late"]), "new_state") == {"late/one": "unrecoverable"}
+    out.write_text("0" * 64 + "  late/two\n")
+    assert outcomes(a.import_list(str(out))) == {"late/two": "mismatch"}
+
+
+def test_names_that_are_not_utf8(made):
+    a, _ = made
+    top, deep = os.fsencode(a.root) + b"/caf\xe9", os.fsencode(a.root) + b"/data/caf\xe9"
+    for name in (top, deep):
+        with open(name, "wb") as f:
+            f.write(b"x")
+    os.remove(os.path.join(a.root, "data/f05"))
+    got = outcomes(a.scan(assume="yes", skipped=True))
+    assert got == {"caf\ufffd": "name isn't UTF-8", "data/caf\ufffd": "name isn't UTF-8", "data/f05": "gone", "data/link": "skipped"}
+    assert a.ls(["data"]).where("path = 'data/f05'").count() == 0 and a.check().count() == 13
+
+
+def test_walks_open_only_what_is_asked_for(made):
+    from vaultloom.sources.archive import TreeReader
+
+    a, _ = made
+    reader = TreeReader({"root": a.root, "roots": '["data", "data/f01", "nowhere"]'})
+    found = [p for part in reader.partitions() for p in part.paths]
+    assert len(found) == len(set(found)) and all(p.startswith(b"data/") for p in found)
+    assert {r["path"] for r in a._disk(["other"]).collect()} == {"other/x", "other/empty"}
+    rows = a.spark.createDataFrame([("data/f00", 1000, 1, 64, 16, 1000), ("gone", 130, 1, 64, 3, 130)], "path string, size long, mtime_ns long, block_size long, n_blocks long, m_size long")
+    from vaultloom.sources import archive as source
+
+    got = source.digested_blocks(rows, a.root, "sha256", ["path"]).collect()
+    whole = {r["path"]: (r["hash"] is not None, r["settled"], r["error"] is not None) for r in got if r["b"] is None}
+    assert whole == {"data/f00": (True, False, False), "gone": (False, False, True)}  # changed since it was listed; not there
+    assert sorted((r["path"], r["b"]) for r in got if r["b"] is not None) == [("data/f00", k) for k in range(16)] + [("gone", k) for k in range(3)]
+
+
 def test_commands(made, capsys, monkeypatch):
     import sys
 

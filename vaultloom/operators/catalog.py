@@ -1,11 +1,14 @@
 """State of an archive: tables of one generation, changed set by set; generations are directories with one pointer.
 
 Nothing is updated in place. A new generation is written next to the old one, then the pointer file is replaced in one
-step; a run that breaks off leaves a directory that no pointer names.
+step; a run that breaks off leaves a directory that no pointer names. A table is a list of directories: small tables are
+written anew, events and what belongs to parity sets are only added to. A set names the part that holds its blocks and shards,
+so dropping a set writes no shard; a part that no set names goes. The pointer records the size and digest of every file.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -14,18 +17,24 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import archive as source
+
 #: The tables and their columns.
 SCHEMAS = {
     "meta": "key string, value string",
     "content": "hash string, algo string, size long, created_at long",
-    "parity_set": "set_id string, algo string, block_size long, blocks_per_stripe long, parity_ppm long, min_parity_blocks long, n_members long, n_blocks long, n_stripes long, data_bytes long, created_at long",
+    "parity_set": "set_id string, algo string, block_size long, blocks_per_stripe long, parity_ppm long, min_parity_blocks long, n_members long, n_blocks long, n_stripes long, data_bytes long, created_at long, part string",
     "parity_member": "set_id string, ord long, content_hash string, size long, first_block long, n_blocks long, dead boolean",
     "file": "path string, content_hash string, size long, mtime_ns long, inode long, state string, added_at long, updated_at long, last_verified_at long",
     "event": "seq long, ts long, path string, kind string, detail string",
     "parity_mark": "path string, mode string, created_at long",
-    "block_hash": "set_id string, g long, hash string",
-    "parity_shard": "set_id string, stripe long, idx long, bytes binary",
+    "block_hash": "set_id string, part string, g long, hash string",
+    "parity_shard": "set_id string, part string, stripe long, idx long, bytes binary",
+    "stripe_digest": "set_id string, part string, stripe long, blocks string, shards string",
 }
+#: Tables that are only added to: those of sets, by part, and the log.
+OF_SETS = ("block_hash", "parity_shard", "stripe_digest")
+LOG_PARTS = 64
 
 
 def contents(files: DataFrame, algo: str) -> DataFrame:
@@ -37,6 +46,12 @@ def orphans(content: DataFrame, files: DataFrame) -> DataFrame:
     return content.join(files.select(F.col("content_hash").alias("hash")), "hash", "left_anti")
 
 
+def meta_set(meta: DataFrame, values: dict[str, str]) -> DataFrame:
+    """meta (key, value) with the values in place of what was there under their keys."""
+    new = meta.sparkSession.createDataFrame(sorted(values.items()), "key string, value string")
+    return meta.join(new.select("key"), "key", "left_anti").unionByName(new)
+
+
 def inserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """old and the rows of new whose keys it doesn't have."""
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
@@ -110,26 +125,44 @@ class Catalogue:
         with open(self.pointer) as f:
             return json.load(f)
 
-    def read(self, table: str) -> DataFrame:
-        place = self.current()["tables"].get(table)
-        if place is None:
+    def stored(self, table: str) -> DataFrame:
+        """All rows of a table's directories, also those of sets that are gone."""
+        places = self.current()["tables"].get(table)
+        if not places:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(os.path.join(self.root, place))
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*(os.path.join(self.root, p) for p in places))
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Writes the given tables as one new generation; the others stay as they are. Returns its number."""
+    def read(self, table: str) -> DataFrame:
+        rows = self.stored(table)
+        return rows.join(self.stored("parity_set").select("set_id", "part"), ["set_id", "part"], "left_semi") if table in OF_SETS else rows
+
+    def fresh(self) -> str:
+        """A directory's name for a new generation."""
+        return f"gen={self.current()['generation'] + 1}-{time.time_ns()}"
+
+    def commit(self, append: dict[str, DataFrame] | None = None, part: str | None = None, last_seq: int | None = None, **tables: DataFrame) -> int:
+        """Writes `tables` anew and adds `append` to theirs, as one new generation; the others stay as they are. Returns its number."""
         now = self.current()
-        number, places = now["generation"] + 1, dict(now["tables"])
-        for name, rows in tables.items():
-            places[name] = os.path.join(f"gen={number}-{time.time_ns()}", name)
-            columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            have = set(rows.columns)
+        number, places, part = now["generation"] + 1, {t: list(p) for t, p in now["tables"].items()}, part or self.fresh()
+        append = dict(append or {})
+        if "event" in append and len(places.get("event", [])) >= LOG_PARTS:
+            tables["event"] = self.stored("event").unionByName(append.pop("event"), allowMissingColumns=True)
+        for name, rows in [*tables.items(), *append.items()]:
+            place = os.path.join(part, name)
             kinds = dict(c.split() for c in SCHEMAS[name].split(", "))
-            rows.select(*(F.col(c).cast(kinds[c]).alias(c) if c in have else F.lit(None).cast(kinds[c]).alias(c) for c in columns)).write.parquet(os.path.join(self.root, places[name]))
+            have = set(rows.columns)
+            rows.select(*(F.col(c).cast(k).alias(c) if c in have else F.lit(None).cast(k).alias(c) for c, k in kinds.items())).write.parquet(os.path.join(self.root, place))
+            places[name] = [*places.get(name, []), place] if name in append else [place]
+        if "parity_set" in tables:
+            named = {r["part"] for r in self.spark.read.schema(SCHEMAS["parity_set"]).parquet(os.path.join(self.root, places["parity_set"][0])).select("part").distinct().collect()}
+            for name in OF_SETS:
+                places[name] = [p for p in places.get(name, []) if p.split(os.sep)[0] in named]
         os.makedirs(self.root, exist_ok=True)
         if os.path.exists(self.pointer):
             self._put("PREVIOUS", now)
-        self._put("CURRENT", {"generation": number, "tables": places, "parts": {t: self._parts(p) for t, p in places.items()}})
+        old = now.get("parts", {})
+        parts = self._digests([p for of in places.values() for p in of if p not in old]) | {p: old[p] for of in places.values() for p in of if p in old}
+        self._put("CURRENT", {"generation": number, "tables": places, "parts": parts, "last_seq": now.get("last_seq", 0) if last_seq is None else last_seq})
         self._sweep()
         return number
 
@@ -141,10 +174,28 @@ class Catalogue:
             os.fsync(f.fileno())
         os.replace(fresh, os.path.join(self.root, name))
 
-    def _parts(self, place: str) -> dict[str, int]:
+    def _files(self, place: str) -> dict[str, int]:
         """The part files of a written table and their sizes."""
         top = os.path.join(self.root, place)
-        return {n: os.path.getsize(os.path.join(top, n)) for n in sorted(os.listdir(top)) if n.endswith(".parquet")}
+        return {n: os.path.getsize(os.path.join(top, n)) for n in sorted(os.listdir(top)) if n.endswith(".parquet")} if os.path.isdir(top) else {}
+
+    def _digests(self, places: list[str]) -> dict[str, dict[str, list]]:
+        """Size and SHA-256 of the files of each directory; large ones are read by the tasks."""
+        out, large = {}, []
+        for place in places:
+            out[place] = {}
+            for name, size in self._files(place).items():
+                if size <= 1 << 20:
+                    with open(os.path.join(self.root, place, name), "rb") as f:
+                        out[place][name] = [size, hashlib.file_digest(f, "sha256").hexdigest()]
+                else:
+                    large.append((f"{place}/{name}", size, os.stat(os.path.join(self.root, place, name)).st_mtime_ns))
+        if large:
+            rows = self.spark.createDataFrame(large, "path string, size long, mtime_ns long").repartition(min(len(large), 4096))
+            for r in source.digested(rows, self.root, "sha256").select("path", "size", "hash").collect():
+                place, name = r["path"].rsplit("/", 1)
+                out[place][name] = [r["size"], r["hash"]]
+        return out
 
     def _sweep(self) -> None:
         """Deletes generations that neither the current nor the previous pointer names."""
@@ -153,18 +204,22 @@ class Catalogue:
             path = os.path.join(self.root, name)
             if os.path.exists(path):
                 with open(path) as f:
-                    kept |= {place.split(os.sep)[0] for place in json.load(f)["tables"].values()}
+                    kept |= {place.split(os.sep)[0] for of in json.load(f)["tables"].values() for place in of}
         for name in os.listdir(self.root):
             if name.startswith("gen=") and name not in kept:
                 shutil.rmtree(os.path.join(self.root, name), ignore_errors=True)
 
-    def verify(self) -> list[str]:
-        """What differs between the part files the pointer recorded and those there."""
+    def verify(self, deep: bool = True) -> list[str]:
+        """What differs between the files the pointer recorded and those there: sizes, and digests of all tables, of sets' parts only if deep."""
         now, problems = self.current(), []
-        for table, recorded in now.get("parts", {}).items():
-            place = now["tables"][table]
-            there = self._parts(place) if os.path.isdir(os.path.join(self.root, place)) else {}
-            problems += [f"{table}: {n}" for n in sorted(set(recorded) | set(there)) if recorded.get(n) != there.get(n)]
+        for table, places in now["tables"].items():
+            there = self._digests(places) if deep or table not in OF_SETS else {p: {n: [size, None] for n, size in self._files(p).items()} for p in places}
+            for place in places:
+                recorded, found = now["parts"][place], there[place]
+                for n in sorted(set(recorded) | set(found)):
+                    one, two = recorded.get(n), found.get(n)
+                    if one is None or two is None or one[0] != two[0] or (two[1] is not None and one[1] != two[1]):
+                        problems.append(f"{table}: {n}")
         return problems
 
     def roll_back(self) -> None:

@@ -76,6 +76,44 @@ def table_digest(block_rows: DataFrame, keys: list[str], order: str, digest: str
     return block_rows.groupBy(*keys).agg(F.sha2(F.unhex(table), 256).alias("table_digest"), F.count("*").alias("n_blocks"))
 
 
+def stripe_digests(hashes: DataFrame, shards: DataFrame) -> DataFrame:
+    """set_id, stripe, blocks, shards: digest of a stripe's block digests and of its shards' digests, each in order. hashes: set_id, stripe, g, hash."""
+    one = table_digest(hashes, ["set_id", "stripe"], "g").select("set_id", "stripe", F.col("table_digest").alias("blocks"))
+    own = shards.select("set_id", "stripe", "idx", F.sha2("bytes", 256).alias("hash"))
+    two = table_digest(own, ["set_id", "stripe"], "idx").select("set_id", "stripe", F.col("table_digest").alias("shards"))
+    return one.join(two, ["set_id", "stripe"], "full_outer")
+
+
+def damaged_stripes(sets: DataFrame, block_rows: DataFrame, digests: DataFrame, column: str = "blocks") -> DataFrame:
+    """g, stripe whose block digests (block_rows: g, b, hash) aren't those that `digests` (g, stripe, blocks) recorded."""
+    rows = block_rows.join(sets.select("g", "blocks_per_stripe"), "g").withColumn("stripe", geometry.floor_div(F.col("b"), F.col("blocks_per_stripe")))
+    now = table_digest(rows, ["g", "stripe"], "b").select("g", "stripe", "table_digest")
+    want = geometry.stripes(sets).where("data_blocks > 0").select("g", "stripe").join(digests.select("g", "stripe", column), ["g", "stripe"], "left")
+    return want.join(now, ["g", "stripe"], "left").where(~F.coalesce(F.col(column) == F.col("table_digest"), F.lit(False))).select("g", "stripe")
+
+
+def damaged_shards(sets: DataFrame, shard_rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """g, stripe whose shards (g, stripe, idx, bytes) aren't those that were written."""
+    now = table_digest(shard_rows.select("g", "stripe", "idx", F.sha2("bytes", 256).alias("hash")), ["g", "stripe"], "idx").select("g", "stripe", "table_digest")
+    want = geometry.stripes(sets).where("parity_blocks > 0").select("g", "stripe").join(digests.select("g", "stripe", "shards"), ["g", "stripe"], "left")
+    return want.join(now, ["g", "stripe"], "left").where(~F.coalesce(F.col("shards") == F.col("table_digest"), F.lit(False))).select("g", "stripe")
+
+
+def adoptable(sets: DataFrame, digests: DataFrame, block_rows: DataFrame, shard_rows: DataFrame) -> DataFrame:
+    """set_id, part of the sets whose every stripe lies in a part of the store with the digests recorded there; the first such part."""
+    key = lambda x: x.withColumn("g", F.concat_ws("|", "set_id", "part"))
+    shape = key(sets.drop("part").join(digests.select("set_id", "part").distinct(), "set_id"))
+    marks = key(digests)
+    torn = damaged_stripes(shape, key(block_rows.withColumnRenamed("g", "b")), marks).union(damaged_shards(shape, key(shard_rows), marks))
+    return shape.join(torn.select("g").distinct(), "g", "left_anti").groupBy("set_id").agg(F.min("part").alias("part"))
+
+
+def ejected(groups: DataFrame, lost: DataFrame) -> DataFrame:
+    """Groups (hash, size, g, ord) that hold one of the lost members (g, ord), without those, and numbered anew."""
+    left = groups.join(lost.select("g").distinct(), "g", "left_semi").join(lost, ["g", "ord"], "left_anti")
+    return left.withColumn("ord", F.row_number().over(Window.partitionBy("g").orderBy("ord")).cast("long") - 1).select("hash", "size", "g", "ord")
+
+
 def block_owners(member_rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """g, b, ord, at: which member each wanted block (g, b) of a set belongs to, and its place there. Blocks come from the members, so the join is by value."""
     end = F.col("first_block") + F.col("n_blocks") - 1

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +21,11 @@ TEMPORARY = ".repairing."
 
 
 class TreeDataSource(DataSource):
-    """spark.read.format("archive_tree").option("root", ...): a row for each file, link or unreadable directory.
+    """spark.read.format("archive_tree").option("root", ...): a row for each file, link, unreadable directory or name that isn't UTF-8.
 
-    A partition for each top-level entry; `skip` is a regular expression of relative paths whose whole subtree is left out.
-    The state directory, the root's .zfs and files of unfinished repairs never show; kind is file, link, other or unreadable.
+    `roots` (a JSON list) are the subtrees to walk, all by default; `skip` is a regular expression of relative paths whose whole
+    subtree is left out. Directories are opened level by level until there is work for SPLITS tasks, then dealt out.
+    The state directory, the root's .zfs and files of unfinished repairs never show; kind is file, link, other, unreadable or badname.
     """
 
     @classmethod
@@ -35,28 +39,54 @@ class TreeDataSource(DataSource):
         return TreeReader(dict(self.options))
 
 
-class Top(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+SPLITS, OPENED = 256, 512
+
+
+class Entries(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.skip = options["root"], options.get("skip") or None
+        self.roots = json.loads(options.get("roots") or '[""]')
 
     def partitions(self) -> list[InputPartition]:
-        try:
-            return [Top(n) for n in sorted(os.listdir(self.root)) if n not in (STATE, ".zfs")] or [Top(STATE)]
-        except OSError:
-            return [Top("")]
+        skip = re.compile(self.skip).search if self.skip else lambda _: None
+        units, opened = [r for r in dict.fromkeys(self.roots) if not r or os.path.lexists(os.path.join(self.root, r))], 0
+        units = [r for r in units if not any(r != o and (not o or r.startswith(o + "/")) for o in units)]
+        plain: list[str] = []
+        while units and opened < OPENED and len(units) + len(plain) < SPLITS:
+            deeper = []
+            for path in units:
+                full = os.path.join(self.root, path) if path else self.root
+                names = None
+                if opened < OPENED and not os.path.islink(full) and os.path.isdir(full) and not (path and skip(path)):
+                    with contextlib.suppress(OSError):
+                        names = sorted(os.listdir(full))
+                if names is None:
+                    plain.append(path)
+                else:
+                    opened += 1
+                    deeper += [child(path, n) for n in names if shown(path, n)]
+            units = deeper
+        every = plain + units
+        size = max(1, -(-len(every) // SPLITS))
+        return [Entries([p.encode("utf-8", "surrogateescape") for p in every[k::-(-len(every) // size)]]) for k in range(-(-len(every) // size))] or [Entries([])]
+
+    def read(self, partition: Entries) -> Iterator[tuple]:
+        skip = re.compile(self.skip).search if self.skip else lambda _: None
+        for path in partition.paths:
+            yield from walk(self.root, path.decode("utf-8", "surrogateescape"), skip)
 
-    def read(self, partition: Top) -> Iterator[tuple]:
-        import re
 
-        skip = re.compile(self.skip).search if self.skip else lambda _: None
-        if partition.path == STATE:
-            return
-        yield from walk(self.root, partition.path, skip)
+def child(path: str, name: str) -> str:
+    return f"{path}/{name}" if path else name
+
+
+def shown(path: str, name: str) -> bool:
+    return bool(path) or name not in (STATE, ".zfs")
 
 
 def row(path: str, s: os.stat_result, kind: str) -> tuple:
@@ -64,7 +94,10 @@ def row(path: str, s: os.stat_result, kind: str) -> tuple:
 
 
 def walk(root: str, path: str, skip) -> Iterator[tuple]:
-    """Rows of a path and all below it, by name."""
+    """Rows of a path and all below it, by name. A name that isn't UTF-8 gives one row, shown with replacement characters, and nothing below it."""
+    if any(0xD800 <= ord(c) < 0xE000 for c in path):
+        yield path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), None, None, None, "badname", "the name isn't UTF-8"
+        return
     if skip(path):
         return
     full = os.path.join(root, path) if path else root
@@ -81,17 +114,15 @@ def walk(root: str, path: str, skip) -> Iterator[tuple]:
             yield path, None, None, None, "unreadable", e.strerror
             return
         for name in names:
-            if not name.isprintable() and any(0xD800 <= ord(c) < 0xE000 for c in name):
-                yield path, None, None, None, "unreadable", "a name below isn't UTF-8"
-                continue
-            yield from walk(root, f"{path}/{name}" if path else name, skip)
+            if shown(path, name):
+                yield from walk(root, child(path, name), skip)
     elif TEMPORARY not in os.path.basename(path):
         yield row(path, s, {0o100000: "file", 0o120000: "link"}.get(mode, "other"))
 
 
-def tree(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+def tree(spark: SparkSession, root: str, skip: str | None = None, roots: list[str] = ("",)) -> DataFrame:
     spark.dataSource.register(TreeDataSource)
-    reader = spark.read.format("archive_tree").option("root", root)
+    reader = spark.read.format("archive_tree").option("root", root).option("roots", json.dumps(list(roots)))
     return (reader.option("skip", skip) if skip else reader).load()
 
 
@@ -190,6 +221,53 @@ def file_blocks(files: DataFrame, root: str, keep: list[str]) -> DataFrame:
     return files.select(*keep, *need).mapInArrow(run, f"{types}, b long, bytes binary, unreadable boolean")
 
 
+def digested_blocks(files: DataFrame, root: str, algo: str, keep: list[str]) -> DataFrame:
+    """Files with recorded blocks (path, size, mtime_ns, block_size, n_blocks, m_size and kept columns), read once for both digests.
+
+    A row for each block: b, now (null if missing, short or unreadable) and unreadable; and one with a null b for the whole file:
+    hash, settled, error. Blocks are cut at the recorded size m_size.
+    """
+    types = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+    names = ["b", "now", "unreadable", "hash", "settled", "error"]
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.string()]
+
+    def of(path: str, size: int, mtime: int, bs: int, n: int, recorded: int) -> Iterator[tuple]:
+        full, whole, error, at = os.path.join(root, path), hasher(algo), None, 0
+        step = max(1, CHUNK // bs) * bs
+        try:
+            while at < max(recorded, size):
+                data, bad = read_tolerant(full, at, min(step, max(recorded, size) - at), bs)
+                if bad:
+                    error = "Input/output error"
+                whole.update(data[: max(0, size - at)])
+                for k in range(0, min(step, recorded - at), bs):
+                    want, part = min(bs, recorded - at - k), data[k : k + bs]
+                    lost = k // bs in bad
+                    part = part[:want]
+                    yield (at + k) // bs, None if lost or len(part) < want else hashlib.sha256(part.ljust(bs, b"\0")).hexdigest(), lost, None, None, None
+                at += step
+            s = os.stat(full)
+            yield None, None, None, None if error else whole.hexdigest(), (s.st_size, s.st_mtime_ns) == (size, mtime), error
+        except OSError as e:
+            for b in range(at // bs, n):
+                yield b, None, True, None, None, None
+            yield None, None, None, None, False, e.strerror or str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, values in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "size", "mtime_ns", "block_size", "n_blocks", "m_size")))):
+                rows: list[tuple] = []
+                for r in of(*values):
+                    rows.append(r)
+                    if r[0] is None or len(rows) >= 4096:
+                        took = batch.take(pa.array([k] * len(rows)))
+                        yield pa.RecordBatch.from_arrays([*(took.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [*keep, *names])
+                        rows = []
+
+    need = [c for c in ("path", "size", "mtime_ns", "block_size", "n_blocks", "m_size") if c not in keep]
+    return files.select(*keep, *need).mapInArrow(run, f"{types}, b long, now string, unreadable boolean, hash string, settled boolean, error string")
+
+
 def datasets(listing: str) -> list[tuple[str, str, int]]:
     """name, mountpoint, record size of the lines of a tab-separated dataset listing; others are skipped."""
     out = []
