@@ -7,19 +7,24 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vaultloom.functions import blake3, formats, galois, paths
-from vaultloom.functions.geometry import Config, Layout
+from vaultloom.functions.geometry import Config
 from vaultloom.operators import manifest
 from vaultloom.sources import archive
 
 
-def test_geometry():
-    small = Layout.choose([1000] * 100, Config())
-    assert (small.block_size, small.n_blocks, small.n_stripes, small.stripe_parity(0)) == (64, 1600, 1, 1600)
-    large = Layout.choose([10 << 30], Config())
-    assert (large.block_size, large.blocks_per_stripe, large.n_stripes, large.stripe_parity(0)) == (65536, 2048, 80, 103)
-    for bad in ([], [0], [1] * 32769):
-        with pytest.raises(ValueError):
-            Layout.choose(bad, Config())
+def test_geometry(spark):
+    """Golden shapes, by the columns that all plans use."""
+    from vaultloom.functions import geometry
+
+    def shape(sizes):
+        rows = spark.createDataFrame([(0, n) for n in sizes], "g long, size long")
+        one = geometry.set_geometry(rows, Config())
+        first = geometry.stripes(one).where("stripe = 0").first()
+        r = one.first()
+        return r["block_size"], r["blocks_per_stripe"], r["n_blocks"], r["n_stripes"], first["parity_blocks"]
+
+    assert shape([1000] * 100) == (64, 32768, 1600, 1, 1600)
+    assert shape([10 << 30]) == (65536, 2048, 163840, 80, 103)
     for bad in (dict(block_size=100), dict(stripe_size=1), dict(parity_ppm=2_000_000), dict(algo="md5"), dict(parity_default="x"), dict(parity_min_bytes=1 << 30)):
         with pytest.raises(ValueError):
             Config(**bad).checked()
@@ -40,6 +45,32 @@ def test_too_many_losses():
     assert galois.decode([None, None, None, *data[3:]], galois.encode(data, 2, 64), 64) is None
 
 
+def test_parity_is_the_cauchy_matrix():
+    """The transforms give what the matrix gives, and any parity block alone brings a lost block back."""
+    import numpy as np
+
+    r = random.Random(7)
+    for d, p in ((1, 1), (3, 5), (20, 3), (33, 16), (16, 33)):
+        data = [r.randbytes(64) for _ in range(d)]
+        parity = galois.encode(data, p, 64)
+        for i in range(p):
+            want = np.zeros(32, np.uint16)
+            for j in range(d):
+                want ^= galois.times(galois.coefficient(i, j, p), galois.words(data[j], 64))
+            assert want.astype("<u2").tobytes() == parity[i]
+            j = r.randrange(d)
+            only = [b if k == i else None for k, b in enumerate(parity)]
+            assert galois.decode([None if k == j else b for k, b in enumerate(data)], only, 64) == {j: data[j]}
+
+
+def test_large_blocks_in_slices():
+    r = random.Random(8)
+    data = [r.randbytes(1 << 16) for _ in range(9)]
+    parity = galois.encode(data, 5, 1 << 16)
+    got = galois.decode([None if k in (0, 4, 8) else b for k, b in enumerate(data)], [None, *parity[1:]], 1 << 16)
+    assert got == {k: data[k] for k in (0, 4, 8)}
+
+
 def test_blake3_vectors():
     count = lambda n: bytes(k % 251 for k in range(n))
     for data, start in ((b"", "af1349b9f5f9a1a6"), (b"abc", "6437b3ac38465133"), (count(1025), "d00278ae47eb27b3"), (count(3073), "7124b49501012f81")):
@@ -55,6 +86,22 @@ def test_formats():
             f(bad)
 
 
+def test_column_formats_like_the_parsers(spark):
+    def like(f, column, texts):
+        got = {r["t"]: r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", column(F.col("t")).alias("v")).collect()}
+        for t in texts:
+            try:
+                want = f(t)
+            except ValueError:
+                want = None
+            assert got[t] == want, t
+
+    like(formats.parse_size, formats.sizes, ["64KiB", "1MiB", "123", "1.5kB", "2G", " 7 b ", "x", "", "-1", "1.5.5", "8000000 TiB"])
+    assert spark.range(1).select(formats.sizes(F.lit("9999999 TiB"))).first()[0] is None
+    like(formats.parse_parity, formats.parities, ["5%", "5", "0.05", "0.2%", "100", "101", "-1", "abc", "12.34567 %", "0"])
+    like(formats.parse_duration, formats.durations, ["30d", "12h", "1h 30m", "1M 2y", "5 parsecs", "", "7", "3 weeks", "1min2sec"])
+
+
 def test_paths(spark):
     rows = spark.createDataFrame([("a/b",), ("a-b",), ("foo",), ("foobar/x",), ("foo/x",), ("a/./b/../c",), ("",)], "p string")
     assert [r[0] for r in rows.where(paths.under(F.col("p"), "foo")).collect()] == ["foo", "foo/x"]

@@ -48,6 +48,40 @@ def parse_duration(text: str) -> int:
     return sum(int(a) * by[b] for a, b in parts)
 
 
+def sizes(text: Column) -> Column:
+    """parse_size for a column; null where the text is no size, or one beyond a long."""
+    shape = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*$"
+    unit = F.lower(F.regexp_extract(text, shape, 2))
+    by = F.lit(None).cast("long")
+    for names, n in sorted({n: [u for u, m in _UNITS.items() if m == n] for n in _UNITS.values()}.items()):
+        by = F.when(unit.isin(*n), F.lit(names).cast("long")).otherwise(by)
+    number = F.regexp_extract(text, shape, 1).try_cast("decimal(20,6)")
+    return F.when(text.rlike(shape), F.floor(number * by).try_cast("long"))
+
+
+def parities(text: Column) -> Column:
+    """parse_parity for a column; null where the text is no ratio."""
+    plain = F.regexp_replace(F.trim(text), "\\s*%$", "")
+    value = F.when(plain.rlike(r"^[0-9]+(\.[0-9]+)?$"), plain.try_cast("decimal(20,8)"))
+    value = F.when(~F.trim(text).endswith("%") & (value < 1), value * 100).otherwise(value)
+    return F.when(value <= 100, F.round(value * 10_000, 0).cast("long"))
+
+
+def durations(text: Column) -> Column:
+    """parse_duration for a column; null where the text is no duration."""
+    by = {name: n for n, names in _SPANS.items() for name in names.split()}
+    one = r"\s*([0-9]+)\s*([A-Za-z]+)"
+    parts = F.zip_with(F.regexp_extract_all(text, F.lit(one), F.lit(1)), F.regexp_extract_all(text, F.lit(one), F.lit(2)), lambda n, u: F.struct(n.alias("n"), u.alias("u")))
+
+    def seconds(p: Column) -> Column:
+        out = F.lit(None).cast("long")
+        for n in sorted(set(by.values())):
+            out = F.when(p["u"].isin(*(u for u, m in by.items() if m == n)), p["n"].cast("long") * n).otherwise(out)
+        return out
+
+    return F.when(text.rlike(f"^(?:{one})+\\s*$"), F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + seconds(p)))
+
+
 def shown_bytes(n: Column) -> Column:
     """IEC units with one decimal; plain bytes below 1 KiB."""
     out = F.concat(n.cast("string"), F.lit(" B"))

@@ -93,6 +93,21 @@ def merged_members(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("set_id", "ord").agg(*others, F.bool_or("dead").alias("dead")).select(*old.columns)
 
 
+def without_sets(rows: DataFrame, gone: DataFrame, key: str = "set_id") -> DataFrame:
+    """What is left of any table of sets once some are deleted."""
+    return rows.join(gone.select(key), key, "left_anti")
+
+
+def with_marks(marks: DataFrame, new: DataFrame) -> DataFrame:
+    """marks (path, mode) with the new ones in place of the old; a null mode takes a mark away."""
+    return marks.join(new.select("path"), "path", "left_anti").unionByName(new.where("mode is not null"), allowMissingColumns=True)
+
+
+def looked_up(files: DataFrame, content: DataFrame) -> DataFrame:
+    """Files with algo and created_at of their contents; null where the content isn't recorded."""
+    return files.join(content.select(F.col("hash").alias("content_hash"), "algo", F.col("created_at").alias("known_since")), "content_hash", "left")
+
+
 def store_findings(rows: DataFrame, stored: DataFrame, key: str, shape: list[str]) -> DataFrame:
     """key, finding: ok, missing in the store, orphan there, or another geometry."""
     there = stored.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in shape))

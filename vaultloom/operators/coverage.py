@@ -37,3 +37,11 @@ def report(files: DataFrame, marks: DataFrame, live: DataFrame, default: str = "
         F.count_if(want & has).alias("have_files"), total(want & has).alias("have_bytes"),
         F.count_if(~want & has).alias("stale_files"), total(~want & has).alias("stale_bytes"),
     )
+
+
+def mounted(files: DataFrame, datasets: DataFrame) -> DataFrame:
+    """path, dataset: the dataset (name, mountpoint) with the longest mountpoint above each path, null without one; met once a directory."""
+    own = files.select(paths.parent(F.col("path")).alias("directory")).distinct()
+    up = own.select("directory", F.posexplode(paths.ancestors(F.col("directory"))).alias("steps", "mountpoint"))
+    nearest = up.join(datasets.select("name", "mountpoint"), "mountpoint").groupBy("directory").agg(F.min_by("name", "steps").alias("dataset"))
+    return files.select("path", paths.parent(F.col("path")).alias("directory")).join(nearest, "directory", "left").select("path", "dataset")

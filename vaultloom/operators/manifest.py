@@ -50,6 +50,11 @@ def parsed_marks(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.select(F.get("p", F.lit(1)).alias("path"), F.get("p", F.lit(0)).alias("mode")).where(F.col("mode").isin("include", "exclude"))
 
 
+def lengths(listed: DataFrame) -> DataFrame:
+    """n_digits, lines: how many digests of each length a list holds."""
+    return listed.groupBy(F.length("digest").cast("long").alias("n_digits")).agg(F.count("*").alias("lines"))
+
+
 def one_length(listed: DataFrame) -> int:
     """Hex digits of all digests; ValueError unless they agree on 64."""
     found = [r["n"] for r in listed.select(F.length("digest").alias("n")).distinct().limit(3).collect()]

@@ -37,6 +37,41 @@ def listed(files: DataFrame, roots: list[str] = ("",), state: str | None = None,
     return rows
 
 
+def flagged(files: DataFrame, roots: list[str] = ("",)) -> DataFrame:
+    """What repair takes up: damaged and missing files, and files named themselves."""
+    rows = listed(files, roots)
+    return rows.where(F.col("state").isin("corrupt", "unrecoverable", "missing") | F.col("path").isin([r for r in roots if r]))
+
+
+def acceptable(files: DataFrame, roots: list[str]) -> DataFrame:
+    """What accept takes up: files under the roots with any flag, and files named themselves."""
+    return listed(files, roots).where((F.col("state") != "ok") | F.col("path").isin(list(roots)))
+
+
+def summary(rows: DataFrame, column: str, size: str = "size") -> DataFrame:
+    """files and bytes of each outcome of a scan, check or import, worst first by count."""
+    return rows.groupBy(F.col(column).alias("outcome")).agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+
+
+def phase(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: sets made, kept and dropped by a parity phase, and bytes of the new ones. before, after: set_id, data_bytes."""
+    both = before.select("set_id", F.lit(1).alias("b")).join(after.select("set_id", "data_bytes", F.lit(1).alias("a")), "set_id", "full_outer")
+    made = F.col("b").isNull()
+    return both.agg(F.count_if(made).alias("made"), F.count_if(F.col("a").isNotNull() & ~made).alias("kept"), F.count_if(F.col("a").isNull()).alias("dropped"), F.coalesce(F.sum(F.when(made, F.col("data_bytes"))), F.lit(0)).cast("long").alias("made_bytes"))
+
+
+def preview(rows: DataFrame, n: int = 20) -> DataFrame:
+    """The first rows by path: what a refusal shows."""
+    return rows.orderBy(F.encode("path", "UTF-8")).limit(n)
+
+
+def set_counts(sets: DataFrame, member_rows: DataFrame, underfull: DataFrame) -> DataFrame:
+    """One row: sets, degraded and underfull ones, members and dead members."""
+    dead = member_rows.groupBy("g").agg(F.count("*").alias("m"), F.count_if("dead").alias("d"))
+    rows = sets.select("g").join(dead, "g", "left").join(underfull.select("g", F.lit(True).alias("low")), "g", "left")
+    return rows.agg(F.count("*").alias("sets"), F.count_if(F.col("d") > 0).alias("degraded"), F.count_if(F.coalesce("low", F.lit(False))).alias("underfull"), F.coalesce(F.sum("m"), F.lit(0)).alias("members"), F.coalesce(F.sum("d"), F.lit(0)).alias("dead"))
+
+
 def copies(files: DataFrame) -> DataFrame:
     """content_hash, files, first_path, last_path of contents that several files have."""
     return files.groupBy("content_hash").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path")).where("files > 1")

@@ -194,7 +194,7 @@ def sources(member_rows: DataFrame, files: DataFrame, disk: DataFrame, excluded:
     if excluded is not None:
         rows = rows.join(excluded.select("content_hash"), "content_hash", "left_anti")
     held = files.select("content_hash", "path", "state", F.col("size").alias("f_size"), "mtime_ns").join(disk.select("path", F.col("size").alias("d_size"), F.col("mtime_ns").alias("d_mtime_ns")), "path", "left")
-    reason = F.when(F.col("state") != "ok", F.concat(F.lit("state is "), F.col("state"))).when(F.col("d_size").isNull(), "not on disk").when((F.col("f_size") != F.col("d_size")) | (F.col("mtime_ns") != F.col("d_mtime_ns")), "changed on disk")
+    reason = F.when(F.col("state") != "ok", F.concat(F.lit("state is "), F.col("state"))).when(F.col("d_size").isNull(), "not on disk").when(~F.col("f_size").eqNullSafe(F.col("d_size")) | ~F.col("mtime_ns").eqNullSafe(F.col("d_mtime_ns")), "changed on disk")
     held = held.withColumn("reason", reason)
     best = held.groupBy("content_hash").agg(F.min(F.when(F.col("reason").isNull(), F.col("path"))).alias("source"), F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("path"))).alias("reason"))
     return rows.join(best, "content_hash", "left").select("g", "ord", "content_hash", "source", F.when(F.col("source").isNull(), F.coalesce("reason", F.lit("no file"))).alias("blocker"))

@@ -310,10 +310,10 @@ def underfull_sets(s: SparkSession, sf: str) -> DataFrame:
     return sets.underfull(_sets(s, sf)[0], CONFIG).select("g", "data_bytes")
 
 
-@query(sql("select g, ord, b, b - first_block as at from (select *, unnest(range(first_block, first_block + n_blocks)) as b from members) where b % 97 = 5", "t0", "sets"))
+@query(sql("select g, ord, b, b - first_block as at from (select *, unnest(range(first_block, first_block + n_blocks)) as b from members)", "t0", "sets"))
 def block_owner(s: SparkSession, sf: str) -> DataFrame:
     shape, rows = _sets(s, sf)
-    wanted = shape.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b")).where("b % 97 = 5")
+    wanted = shape.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b"))
     return sets.block_owners(rows, wanted)
 
 
@@ -337,9 +337,9 @@ marg as (select path, bool_and(n <= parity_blocks) as margin_ok from (select pat
 chk as (select rec.path, rec.n_blocks, bad, greatest(size1 - size, 0) as extra_bytes, coalesce(margin_ok, true) as margin_ok, mtime_ns, mtime1, content_hash, hash1, rec.size, size1 from rec join (select path, count(*) filter (bad) as bad from cmp group by 1) using (path) left join marg using (path))"""
 
 
-def _checked_blocks(s: SparkSession, sf: str) -> DataFrame:
-    """path, n_blocks, bad, extra_bytes, margin_ok of files on disk under their path: recorded digests against the blocks there."""
-    shape, rows = _sets(s, sf)
+def _checked_blocks(s: SparkSession, sf: str, worn: bool = False) -> DataFrame:
+    """path, n_blocks, bad, extra_bytes, margin_ok of files on disk under their path: recorded digests against the blocks there; worn: with dead members."""
+    shape, rows = _worn(s, sf) if worn else _sets(s, sf)
     size = F.col("block_size")
     recorded = fixtures.t0(s, sf).select("path", F.col("hash").alias("content_hash"), "size", "content")
     where = rows.select("content_hash", "g", "ord", "first_block", "n_blocks").join(shape.select("g", "block_size", "blocks_per_stripe"), "g")
@@ -353,7 +353,8 @@ def _checked_blocks(s: SparkSession, sf: str) -> DataFrame:
     there = now.select("path", "n_blocks", F.greatest(F.col("d_size") - F.col("size"), F.lit(0).cast("long")).alias("extra_bytes"))
     pairs = old.join(there.select("path"), "path", "left_semi").join(new, ["path", "b"], "left")
     bad = pairs.where(~(F.coalesce(F.col("length") == F.col("d_length"), F.lit(False)) & F.coalesce(F.col("hash") == F.col("d_hash"), F.lit(False))))
-    margin = sets.margins(bad, s.createDataFrame([], "g long, stripe long, dead long"), shape, ["path"])
+    gone = sets.dead_blocks(rows, shape) if worn else s.createDataFrame([], "g long, stripe long, dead long")
+    margin = sets.margins(bad, gone, shape, ["path"])
     counts = bad.groupBy("path").agg(F.count("*").alias("bad"))
     return there.join(counts, "path", "left").join(margin, "path", "left").select("path", "n_blocks", F.coalesce("bad", F.lit(0)).alias("bad"), "extra_bytes", F.coalesce("margin_ok", F.lit(True)).alias("margin_ok"))
 
