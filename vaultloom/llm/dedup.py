@@ -11,7 +11,8 @@ so passages that many documents share don't make long lists. The steps after tha
    on full sets, between components only; parity bits of the sets drop pairs that differ in too many elements within the
    join, without loss, and the pairs left are compared on full sets.
 
-Joins by a value, a shingle or a centre that very many classes share deal those classes over several tasks.
+Joins by a shingle or a centre that very many classes share deal those classes over several tasks; values meet their counts as
+four numbers a row, where Spark's own splitting of skewed partitions does.
 A dense group of n near copies so costs about n comparisons instead of n squared, and no link between different texts is
 lost but by chance: with k = 64 and overlap 36, two texts at the threshold of 0.85 miss each other with a probability
 below 1e-7 (sets of at most k shingles are sketched whole).
@@ -95,13 +96,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked_classes(reps: DataFrame, texts: DataFrame, width: int, percent: int, k: int, overlap: int) -> DataFrame:
     """(node, label) of the classes that are linked. reps: c, n, sketch; texts: _row, _text."""
     each = reps.select("c", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    often = scratch(each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "near-often")
+    often = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     # a set of at most k values is sketched whole; its partner may have lost what goes beyond k
     least = F.expr(f"case when n > {k} then {overlap} else greatest(1, ({percent} * n + 99) div 100 - greatest(0, 100 * n div {percent} - {k})) end")
-    ranked = spread_join(each, often, ["v"], often.select("v", F.col("f").alias("n")), ["c"]).selectExpr("c", "n", "k", "v", "row_number() over (partition by c order by f, v) as rank", "count(*) over (partition by c) as r")
+    ranked = each.join(often, "v").selectExpr("c", "n", "k", "v", "row_number() over (partition by c order by f, v) as rank", "count(*) over (partition by c) as r")
     listed = ranked.where(F.col("rank") <= F.col("k") - least + 1 - (F.col("k") - F.col("r"))).select("v", "c", "n", "r")
     listed = scratch(listed, "near-lists")
-    discard(often)
     shift = 1 << 52
     centre = listed.groupBy("v").agg(F.count("*").alias("m"), F.max(F.col("r") * shift + (shift - 1 - F.col("c"))).alias("code")).where("m > 1")
     centre = centre.select("v", (F.lit(shift - 1) - F.col("code") % shift).alias("p"))
