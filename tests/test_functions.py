@@ -149,3 +149,27 @@ def test_tolerant_reads(tmp_path, monkeypatch):
     data, bad = archive.read_tolerant(str(f), 0, 200, 64)
     assert bad == [1] and data == bytes(range(64)) + bytes(64) + bytes(range(128, 200))
     random.seed(0)
+
+
+def test_adoptable_sets(spark):
+    """A set is taken up from a part whose every stripe has the digests recorded there: not from one with another block, shard or missing stripe."""
+    import hashlib
+
+    from vaultloom.operators import sets
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    shape = spark.createDataFrame([(k, None, 2, 3, 2, 100_000, 1) for k in ("a", "b", "c", "d")], "set_id string, part string, blocks_per_stripe long, n_blocks long, n_stripes long, parity_ppm long, min_parity_blocks long")
+    blocks, shards, digests = [], [], []
+    for k in ("a", "b", "c", "d"):
+        hashes = [sha(f"{k}{g}".encode()) for g in range(3)]
+        for stripe, own in ((0, hashes[:2]), (1, hashes[2:])):
+            data = f"{k}{stripe}".encode()
+            shards.append((k, "p1", stripe, 0, data + b"!" * (k == "c")))
+            if (k, stripe) != ("d", 1):
+                digests.append((k, "p1", stripe, sha(bytes.fromhex("".join(own))), sha(bytes.fromhex(sha(data)))))
+        blocks += [(k, "p1", g, sha(b"other") if (k, g) == ("b", 2) else h) for g, h in enumerate(hashes)]
+    got = sets.adoptable(
+        shape, spark.createDataFrame(digests, "set_id string, part string, stripe long, blocks string, shards string"),
+        spark.createDataFrame(blocks, "set_id string, part string, g long, hash string"), spark.createDataFrame(shards, "set_id string, part string, stripe long, idx long, bytes binary"),
+    )
+    assert [tuple(r) for r in got.collect()] == [("a", "p1")]
